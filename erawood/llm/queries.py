@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from erawood.llm import quality, simhash
+from erawood.llm import quality, simhash, substring
 
 QUERIES = {
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
-ORACLE_SQL = {"op9_quality_rules": quality.OP9_SQL}
+ORACLE_SQL = {
+    "op6_substring_dedup": substring.OP6_SQL,
+    "op9_quality_rules": quality.OP9_SQL,
+}
