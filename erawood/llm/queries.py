@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from erawood.llm import bpe, quality, simhash, substring
+from erawood.llm import bpe, packing, quality, simhash, substring
 
 QUERIES = {
     "op5_token_counts": bpe.op5_token_counts,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op8_retrieval_packing": packing.op8_retrieval_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
 }
