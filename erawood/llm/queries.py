@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from erawood.llm import bpe, packing, quality, simhash, substring
+from erawood.llm import bpe, decontamination, packing, quality, simhash, substring
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op5_token_counts": bpe.op5_token_counts,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_retrieval_packing": packing.op8_retrieval_packing,
