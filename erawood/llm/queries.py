@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from erawood.llm import bpe, decontamination, langid, packing, quality, simhash, substring
+from erawood.llm import bpe, decontamination, langid, licenses, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_language_id": langid.op4_language_id,
     "op5_token_counts": bpe.op5_token_counts,
     "op6_substring_dedup": substring.op6_substring_dedup,
