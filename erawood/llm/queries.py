@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from erawood.llm import bpe, decontamination, langid, licenses, packing, quality, simhash, substring
+from erawood.llm import bpe, decontamination, langid, licenses, packing, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_token_counts": bpe.op5_token_counts,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_url_filter": urls.op7_url_filter,
     "op8_retrieval_packing": packing.op8_retrieval_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_dedup": simhash.op10_simhash_dedup,
