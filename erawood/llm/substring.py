@@ -45,12 +45,13 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(buckets: np.ndarray, doc: np.ndarray, place: np.ndarray, value: np.ndarray, ids: list[np.ndarray]):
+def _packed(buckets: np.ndarray, doc: np.ndarray, place: np.ndarray, value: np.ndarray | None, ids: list[np.ndarray]):
     """A blob for each bucket: for each of its documents the ids and the count, then places and values."""
     if not len(buckets):
         return
     order = np.argsort(buckets, kind="stable")
-    buckets, doc, place, value = buckets[order], doc[order], place[order], value[order]
+    buckets, doc, place = buckets[order], doc[order], place[order]
+    value = None if value is None else value[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(buckets)) + 1, [len(buckets)]])
     numbers, blobs = [], []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -62,13 +63,13 @@ def _packed(buckets: np.ndarray, doc: np.ndarray, place: np.ndarray, value: np.n
             + b"".join(byte_planes(x[d[heads]]) for x in ids)
             + byte_planes(counts)
             + byte_planes(place[a:b].astype(np.uint32))
-            + value[a:b].tobytes()
+            + (b"" if value is None else value[a:b].tobytes())
         )
         numbers.append(int(buckets[a]))
     yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def _unpacked(column: pa.ChunkedArray, n_ids: int, kind: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _unpacked(column: pa.ChunkedArray, n_ids: int, kind: type | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Ids, place and value of every entry of a bucket's blobs."""
     ids, places, values = [[] for _ in range(n_ids)], [], []
     for cell in column:
@@ -85,8 +86,36 @@ def _unpacked(column: pa.ChunkedArray, n_ids: int, kind: type) -> tuple[list[np.
             out.append(np.repeat(x, counts))
         places.append(from_planes(blob[at:], np.uint32, n))
         at += 4 * n
-        values.append(np.frombuffer(blob[at:], kind, n))
-    return [np.concatenate(x) for x in ids], np.concatenate(places), np.concatenate(values)
+        if kind is not None:
+            values.append(np.frombuffer(blob[at:], kind, n))
+    return [np.concatenate(x) for x in ids], np.concatenate(places), np.concatenate(values) if values else None
+
+
+_BLOBS = "bucket int, blob binary"
+
+
+def _sent_home(ids: list[np.ndarray], place: np.ndarray, buckets: int) -> pa.Table:
+    """Places dealt anew by document, a blob for each bucket that gets some."""
+    order = np.lexsort((place, *ids[::-1]))
+    ids, place = [x[order] for x in ids], place[order]
+    home = ((ids[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    turn = np.zeros(len(place), np.int64)
+    for x in ids:
+        turn[1:] |= x[1:] != x[:-1]
+    number = np.cumsum(turn)
+    heads = np.concatenate([[0], np.flatnonzero(turn)])
+    batches = list(_packed(home, number, place, None, [x[heads] for x in ids])) if len(place) else []
+    return pa.Table.from_batches(batches, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
+
+
+def _at_home(packed: DataFrame, names: list[str]) -> DataFrame:
+    """From the blobs that were sent home, one row for each document with all its places."""
+
+    def unpack(t: pa.Table) -> pa.Table:
+        ids, place, _ = _unpacked(t.column("blob"), len(names), None)
+        return _by_doc(ids, place, names)
+
+    return packed.groupBy("bucket").applyInArrow(unpack, ", ".join(f"{x} long" for x in names) + ", places binary")
 
 
 def _by_doc(ids: list[np.ndarray], place: np.ndarray, names: list[str]) -> pa.Table:
@@ -135,30 +164,28 @@ def anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         at = at[np.argsort(value[at], kind="stable")]
         doc, place, value, block = doc[at], place[at], value[at], block[at]
         if not len(at):
-            return _by_doc([doc], place, ["doc_id"])
+            return _sent_home([doc], place, buckets)
         heads, size = _groups(value)
         owner = np.repeat(np.minimum.reduceat(np.where(block, doc, np.iinfo(np.int64).max), heads), size)
         last = np.repeat(np.maximum.reduceat(doc, heads), size)
         hit = (doc > owner) | (block & (doc < last))
-        return _by_doc([doc[hit]], place[hit], ["doc_id"])
+        return _sent_home([doc[hit]], place[hit], buckets)
 
-    packed = docs.select("doc_id", "text").mapInArrow(probes, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, places binary")
+    packed = docs.select("doc_id", "text").mapInArrow(probes, _BLOBS)
+    return _at_home(packed.groupBy("bucket").applyInArrow(meet, _BLOBS), ["doc_id"])
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows ``(doc_id, text_hash, places)``: starts of the windows that a smaller document has too.
 
-    Several rows can hold places of one document. ``text_hash`` tells apart rows that repeat a
+    ``text_hash`` tells apart rows that repeat a
     doc_id with another text; such rows never remove each other's words. Rows with a null doc_id
     take no part.
     """
     half, buckets = window // 2, bucket_count(docs)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stored(anchors(docs, window, buckets), "anchors")
-    with_anchors = docs.join(found.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "doc_id").select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text", "places"
-    )
+    with_anchors = docs.join(found, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "places")
 
     def extend(batches):
         for part in slices(batches, "text", CHUNK_BYTES):
@@ -169,7 +196,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             near = np.zeros(len(h) + 1, np.int64)
             places = part.column("places")
             for d in range(part.num_rows):
-                a = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in places[d].values]).astype(np.int64)
+                a = np.frombuffer(places[d].as_buffer(), np.uint32).astype(np.int64)
                 n = first[d + 1] - first[d]
                 a = a[a < n]
                 np.add.at(near, first[d] + np.maximum(a - half, 0), 1)
@@ -185,16 +212,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         heads, size = _groups(value[at])
         least = np.repeat(np.minimum.reduceat(doc[at], heads), size)
         at = at[doc[at] > least]
-        return _by_doc([doc[at], text[at]], place[at], ["doc_id", "text_hash"])
+        return _sent_home([doc[at], text[at]], place[at], buckets)
 
-    packed = with_anchors.mapInArrow(extend, "bucket int, blob binary")
-    return packed.groupBy("bucket").applyInArrow(compare, "doc_id long, text_hash long, places binary")
+    packed = with_anchors.mapInArrow(extend, _BLOBS)
+    return _at_home(packed.groupBy("bucket").applyInArrow(compare, _BLOBS), ["doc_id", "text_hash"])
 
 
-def _covered(places: list[np.ndarray], n: int, window: int) -> np.ndarray:
+def _covered(places: pa.Scalar, n: int, window: int) -> np.ndarray:
     """Which of ``n`` words lie in a window that starts at one of ``places``."""
     edge = np.zeros(n + 1, np.int64)
-    a = np.concatenate(places).astype(np.int64)
+    a = np.frombuffer(places.as_buffer(), np.uint32).astype(np.int64)
     np.add.at(edge, a, 1)
     np.add.at(edge, a + window, -1)
     return np.cumsum(edge)[:n] > 0
@@ -210,7 +237,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     made = ("n_words", "n_removed", "spans", "kept_text")
     docs = docs.select(*[c for c in docs.columns if c not in made])
     found = stored(repeats(docs, window), "repeats")
-    gathered = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list("places").alias("__places"))
+    gathered = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("places").alias("__places"))
     joined = docs.join(gathered, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left").drop("__id", "__th")
     schema = docs.schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>"), ("kept_text", "string")):
@@ -229,7 +256,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     runs.append([])
                     kept.append(b" ".join(w))
                     continue
-                gone = _covered([np.frombuffer(x.as_buffer(), np.uint32) for x in places[d].values], len(w), window)
+                gone = _covered(places[d], len(w), window)
                 n_removed.append(int(gone.sum()))
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 runs.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
@@ -252,9 +279,8 @@ def _field(name: str, kind: str):
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """As ``without_repeats``, but with the SHA-256 of the kept text in place of texts and spans."""
     found = stored(repeats(docs, window), "repeats")
-    gathered = found.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(gathered, ["doc_id", "text_hash"], "left").select("doc_id", "text", "places")
+    joined = keyed.join(found, ["doc_id", "text_hash"], "left").select("doc_id", "text", "places")
 
     def remove(batches):
         for part in slices(batches, "text", CHUNK_BYTES):
@@ -265,7 +291,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = texts[d].as_py().split()
                 n_words.append(len(w))
                 if places[d].is_valid:
-                    gone = _covered([np.frombuffer(x.as_buffer(), np.uint32) for x in places[d].values], len(w), window)
+                    gone = _covered(places[d], len(w), window)
                     n_removed.append(int(gone.sum()))
                     w = [w[i] for i in np.flatnonzero(~gone)]
                 else:
