@@ -142,8 +142,12 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept"}
     stats = with_stats(docs.select(*[c for c in docs.columns if c not in made]))
+    # A filter on kept must not be pushed below the statistics, which it would then compute again
+    # for each mention: it isn't pushed through a projection with a partition number.
+    stats = stats.withColumn("__part", F.spark_partition_id())
     base = stats.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    return cascade(base, [*base_rules(), *default_rules()], sample_rows)
+    judged = cascade(base, [*base_rules(), *default_rules()], sample_rows)
+    return judged.withColumn("kept", F.col("kept") & (F.col("__part") >= 0)).drop("__part")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
