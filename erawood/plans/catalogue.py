@@ -1,6 +1,409 @@
-"""Queries of the engine by name, and their SQL."""
+"""Queries of the engine by name over the driver's tables, and the SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from erawood.config import BoostConfig
+from erawood.functions.columns import finite, gain, signal
+from erawood.operators import binning, bundling, cuts, eras, features, histogram, metrics, splits, trees
+from erawood.operators.booster import EraBooster, _store, sampled_features
+from erawood.plans import sql as S
+from erawood.sources import io
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
+BINS = 16
+CONFIG = BoostConfig(pack_size=2, max_depth=2, learning_rate=0.1, lambda_l2=1.0, lambda_dro=0.2, direction_weight=0.05, min_samples_leaf=50, max_bins=BINS)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def training(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as a training set: eras are ship years, the target is a mix of tax, price and discount."""
+    y = F.col("l_tax") * 10 - F.col("l_discount") * 2 + F.col("l_quantity") / 100
+    return _table(spark, d, "lineitem").select(*FEATURES, "l_tax", F.year("l_shipdate").alias("era"), y.alias("y"))
+
+
+def _binned(spark: SparkSession, d: str) -> DataFrame:
+    ready, _ = binning.preprocess(training(spark, d), FEATURES, BINS)
+    return ready.select("era", "y", "bins", F.lit(0).alias("node_id"), (-F.col("y")).alias("grad"))
+
+
+def _hist(spark: SparkSession, d: str) -> DataFrame:
+    return histogram.histogram(_binned(spark, d), [0, 1, 2], BINS)
+
+
+def _r(c: str, digits: int = 6):
+    """A rounded column without a negative zero."""
+    return (F.round(c, digits) + F.lit(0.0)).alias(c)
+
+
+def quantile_edges(spark, d):
+    return binning.edge_table(training(spark, d), FEATURES, BINS).select("feature", "i", F.col("edge").cast("double").alias("edge"))
+
+
+def bin_counts(spark, d):
+    ready, _ = binning.preprocess(training(spark, d), FEATURES, BINS)
+    return ready.select(F.posexplode("bins").alias("feature", "bin")).groupBy("feature", F.col("bin").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def prebinned_check(spark, d):
+    labels = _table(spark, d, "labels")
+    answers = [("labels_2", binning.is_prebinned(labels, ["quality", "toxic"], 2)), ("labels_1", binning.is_prebinned(labels, ["quality", "toxic"], 1)), ("part_64", binning.is_prebinned(_table(spark, d, "part"), ["p_size"], 64))]
+    return spark.createDataFrame(answers, "name string, prebinned boolean")
+
+
+def embedding_bins(spark, d):
+    vectors = _table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(4)])
+    ready, _ = binning.preprocess(vectors, [f"e{i}" for i in range(4)], 8)
+    return ready.select("vec_id", *[F.col("bins")[i].cast("int").alias(f"b{i}") for i in range(4)])
+
+
+def era_encode(spark, d):
+    return eras.encode_eras(training(spark, d)).groupBy("era", "era_code").agg(F.count("*").alias("n"))
+
+
+def era_bucket(spark, d):
+    days = _table(spark, d, "orders").select(F.datediff("o_orderdate", F.lit("1990-01-01")).alias("date_id"))
+    return eras.bucket_eras(days, 180, "date_id").groupBy("era_bucket").agg(F.count("*").alias("n"))
+
+
+def era_floor(spark, d):
+    return _table(spark, d, "orders").select(eras.floor_eras(F.col("o_orderkey"), 512).alias("era")).groupBy("era").agg(F.count("*").alias("n"))
+
+
+def era_index(spark, d):
+    rows = _table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 8).cast("int").alias("era"))
+    return eras.era_index(rows, "vec_id").select("era", F.size("rows").cast("long").alias("n"), F.array_join("rows", ",").alias("rows"))
+
+
+def era_weights(spark, d):
+    n = training(spark, d).groupBy("era").agg(F.count("*").alias("n"))
+    return n.select("era", eras.era_weight(F.col("n"), 0.0).alias("w0"), eras.era_weight(F.col("n"), 1.5).cast("double").alias("w15"))
+
+
+def single_era(spark, d):
+    return eras.single_era(training(spark, d)).groupBy("era").agg(F.count("*").alias("n"))
+
+
+def grad_hist(spark, d):
+    return _hist(spark, d).select("node_id", "feature", "era", "bin", "cnt", _r("g"))
+
+
+def grad_hist_arrow(spark, d):
+    return histogram.histogram_arrow(_binned(spark, d), [0, 1, 2], BINS).select("node_id", "feature", "era", "bin", "cnt", _r("g"))
+
+
+def dense_grid(spark, d):
+    return histogram.densified(_hist(spark, d), BINS).select("feature", "era", "bin", "cnt", _r("g"))
+
+
+def prefix_scan(spark, d):
+    return histogram.prefix_sums(_hist(spark, d), BINS).select("feature", "era", "thr", "lc", _r("lg"), "tc", _r("tg"))
+
+
+def reverse_scan(spark, d):
+    return histogram.suffix_sums(_hist(spark, d), BINS).select("feature", "era", "thr", "rc", _r("rg"))
+
+
+def node_totals(spark, d):
+    return histogram.node_totals(_binned(spark, d), "era").select("node_id", "era", "n", _r("g"))
+
+
+def parent_gain(spark, d):
+    return histogram.node_totals(_binned(spark, d), "era").select("era", F.round(gain(F.col("g"), F.col("n"), 1.0), 6).alias("gain"))
+
+
+def even_cuts(spark, d):
+    return spark.createDataFrame([(b, k, t) for b, k in ((63, 3), (16, 5), (16, 0), (8, 20)) for t in cuts.even_cuts(b, k)], "bins int, k int, thr int")
+
+
+def mass_cuts(spark, d):
+    return cuts.mass_cut_table(_hist(spark, d), BINS, 5)
+
+
+def era_gain(spark, d):
+    g = splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), CONFIG)
+    return g.select("feature", "era", "thr", "valid", _r("gain", 5), "direction", "w")
+
+
+def des_score(spark, d):
+    s = splits.scores(splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), CONFIG), CONFIG)
+    return s.select("feature", "thr", _r("mean", 5), _r("std", 4), _r("agreement"), _r("score", 4), "lc", "tc")
+
+
+def best_split_root(spark, d):
+    s = splits.scores(splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), CONFIG), CONFIG)
+    return _decision(splits.best_splits(s, CONFIG))
+
+
+def best_split_arrow(spark, d):
+    return _decision(splits.best_splits_arrow(histogram.histogram_arrow(_binned(spark, d), [0, 1, 2], BINS), CONFIG))
+
+
+def _decision(b):
+    return b.select("node_id", "feature", "threshold", _r("score", 4), "left_count", "right_count", _r("left_value"), _r("right_value"))
+
+
+def _fit(spark, d, rounds: int, engine: str = "arrow", **changes) -> tuple[EraBooster, DataFrame]:
+    from dataclasses import replace
+
+    df = _store(training(spark, d), "training")
+    return EraBooster(replace(CONFIG, **changes), engine).fit(df, FEATURES, "y", "era", num_rounds=rounds, log_metrics=False), df
+
+
+def _model(booster, spark):
+    return booster.model(spark).where(F.col("tree_id") % CONFIG.pack_size == 0).select("round", "node_id", "feature", "threshold", "left", "right", _r("value", 5), "is_leaf")
+
+
+def fit_one_round(spark, d):
+    return _model(_fit(spark, d, 1)[0], spark)
+
+
+def fit_two_rounds(spark, d):
+    return _model(_fit(spark, d, 2)[0], spark)
+
+
+def fit_sql_engine(spark, d):
+    return _model(_fit(spark, d, 1, "sql")[0], spark)
+
+
+def fit_predict(spark, d):
+    booster, df = _fit(spark, d, 2)
+    return booster.predict(df).groupBy("era", F.round("prediction", 4).alias("prediction")).agg(F.count("*").alias("n"))
+
+
+def predict_packwise(spark, d):
+    booster, df = _fit(spark, d, 2)
+    return booster.predict_packwise(df).groupBy("era", F.round("prediction", 4).alias("prediction")).agg(F.count("*").alias("n"))
+
+
+def fit_mass_cuts(spark, d):
+    return _model(_fit(spark, d, 1, k_cuts=5)[0], spark)
+
+
+def fit_sampled_features(spark, d):
+    return _model(_fit(spark, d, 1, layer_feature_fraction=0.67, random_state=3)[0], spark)
+
+
+FIXED = trees.Tree([0, 1, 2, -1, -1, -1, -1], [7, 4, 3, 0, 0, 0, 0], [1, 3, 5, -1, -1, -1, -1], [2, 4, 6, -1, -1, -1, -1], [0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0])
+
+
+def predict_tree(spark, d):
+    return _binned(spark, d).select("era", trees.value_of(FIXED, F.col("bins")).alias("value")).groupBy("era", "value").agg(F.count("*").alias("n"))
+
+
+def predict_forest(spark, d):
+    return _binned(spark, d).select((trees.forest_value([FIXED, trees.Tree(), FIXED], F.col("bins")) * 0.1).alias("v")).groupBy(F.round("v", 6).alias("value")).agg(F.count("*").alias("n"))
+
+
+def partition_rows(spark, d):
+    return _binned(spark, d).select(trees.node_of(FIXED, F.col("bins")).alias("node_id"), "era").groupBy("node_id", "era").agg(F.count("*").alias("n"))
+
+
+def _predicted(spark, d):
+    return training(spark, d).withColumn("p", F.col("l_quantity") / 50 - F.col("l_discount"))
+
+
+def era_corr(spark, d):
+    return metrics.era_correlations(_predicted(spark, d), "y", "p").select("era", _r("corr"))
+
+
+def era_metrics(spark, d):
+    return metrics.era_metrics(_predicted(spark, d), "y", "p").select(_r("mean_corr"), _r("corr_sharpe", 4), "n_eras")
+
+
+def r2(spark, d):
+    return metrics.r2(_predicted(spark, d), "y", "p").select(_r("r2"))
+
+
+def mse(spark, d):
+    return metrics.mse(_predicted(spark, d), "y", "p").select(_r("mse"), _r("variance"))
+
+
+def _returns(spark, d):
+    return _table(spark, d, "events").select("event_id", ((F.col("value") - 50) / 5000).alias("forward_returns"), F.lit(0.0001).alias("risk_free_rate"), (F.col("value") / 100 - 0.5).alias("raw"))
+
+
+def ann_sharpe(spark, d):
+    return _returns(spark, d).agg(F.round(metrics.annual_sharpe(F.col("forward_returns")), 6).alias("sharpe"))
+
+
+def signal_clip(spark, d):
+    return _returns(spark, d).select("event_id", F.round(signal(F.col("raw"), 1.0), 9).alias("position"))
+
+
+def penalised_sharpe(spark, d):
+    df = _returns(spark, d).withColumn("position", signal(F.col("raw"), 1.0))
+    return metrics.penalised_sharpe(df, "position", "forward_returns", "risk_free_rate").select(_r("score", 5))
+
+
+def rank_pct(spark, d):
+    return metrics.rank_pct(_table(spark, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", F.round("rank_pct", 9).alias("rank_pct"))
+
+
+def _series(spark, d):
+    return _table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+
+
+def _over(spark, d, make, name):
+    w = features.ordered(["ts", "event_id"])
+    return _series(spark, d).select("event_id", F.round(make(F.col("value"), w), 8).alias(name))
+
+
+def lag1(spark, d):
+    return _over(spark, d, features.lag1, "lag1")
+
+
+def rolling_z(spark, d):
+    return _over(spark, d, features.rolling_z, "z")
+
+
+def momentum(spark, d):
+    return _over(spark, d, features.momentum, "momentum")
+
+
+def ffill(spark, d):
+    return _over(spark, d, lambda x, w: features.fill(x, w, "ffill"), "filled")
+
+
+def bfill(spark, d):
+    return _over(spark, d, lambda x, w: features.fill(x, w, "bfill"), "filled")
+
+
+def ffill_bfill(spark, d):
+    return _over(spark, d, lambda x, w: features.fill(x, w, "ffill_bfill"), "filled")
+
+
+def engineer_features(spark, d):
+    df, _ = features.engineer(_table(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["value"], ["ts", "event_id"], by=["user_id"])
+    return df.select("event_id", *[F.round(c, 8).alias(c) for c in ("value_lag1", "value_z21", "value_mom63")])
+
+
+def inf_to_null(spark, d):
+    x = F.when(F.col("event_id") % 5 == 0, F.lit(float("inf"))).when(F.col("event_id") % 5 == 1, F.lit(float("nan"))).otherwise(F.col("value"))
+    return _table(spark, d, "events").select("event_id", finite(x).alias("x"))
+
+
+def excess_target(spark, d):
+    return features.excess_target(_returns(spark, d).drop("raw")).select("event_id", F.round("target", 9).alias("target"))
+
+
+def null_target_filter(spark, d):
+    return _series(spark, d).dropna(subset=["value"]).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def type_casts(spark, d):
+    return training(spark, d).select(F.col("l_quantity").cast("short").alias("q")).groupBy("q").agg(F.count("*").alias("n"))
+
+
+def column_inference(spark, d):
+    df = training(spark, d).withColumnRenamed("y", "target")
+    era, target, names = features.infer_columns(df, prefixes=["l_"])
+    return spark.createDataFrame([("era", era), ("target", target), *[("feature", c) for c in names]], "role string, name string")
+
+
+def dir_agreement(spark, d):
+    df = training(spark, d).withColumn("y", F.col("y") - 0.4)
+    return features.directional_agreement(df, FEATURES, "y").select("feature", _r("agreement"))
+
+
+def top_corr(spark, d):
+    return features.top_correlated(training(spark, d), [*FEATURES, "l_tax"], "y", 3).select("feature", "place", _r("corr"))
+
+
+def temporal_holdout(spark, d):
+    train, test = eras.temporal_holdout(training(spark, d), holdout=2)
+    return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test"))).groupBy("role", "era").agg(F.count("*").alias("n"))
+
+
+def row_holdout(spark, d):
+    df = eras.row_holdout(_table(spark, d, "events").select("event_id", "ts"), 0.1, ["ts", "event_id"])
+    return df.where("is_test").select("event_id")
+
+
+def cv_folds(spark, d):
+    return eras.cv_folds(training(spark, d), 3, embargo=1)
+
+
+def last_n(spark, d):
+    days = _table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id")
+    return eras.last_dates(days, 5, "day").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+def _sparse(spark, d):
+    k = F.col("event_id")
+    on = {"a": k % 5 == 0, "b": k % 5 == 1, "c": k % 7 == 0, "e": k % 5 == 2}
+    return _table(spark, d, "events").select("event_id", *[F.when(v, F.col("value")).otherwise(0.0).alias(c) for c, v in on.items()])
+
+
+def conflict_matrix(spark, d):
+    return bundling.conflict_matrix(_sparse(spark, d), ["a", "b", "c", "e"])
+
+
+def bundle_transform(spark, d):
+    names = ["a", "b", "c", "e"]
+    df = _sparse(spark, d)
+    found = bundling.greedy_bundles([(r["f1"], r["f2"], r["n"]) for r in bundling.conflict_matrix(df, names).collect()], 4, 3, 0)
+    out, made = bundling.apply_bundles(df, names, found, keep=["event_id"])
+    return out.select("event_id", F.array_join(F.array_sort(F.array(*[F.format_string("%.4f", F.col(f"`{c}`")) for c in made])), ",").alias("sums"))
+
+
+def depth_log(spark, d):
+    booster, _ = _fit(spark, d, 1)
+    logged = spark.createDataFrame([(x["round"], x["depth"], x["nodes_processed"], x["nodes_split"], x["rows"]) for x in booster.depth_log], "round int, depth int, nodes_processed int, nodes_split int, n_rows long")
+    return logged.groupBy("round").agg(F.sum("nodes_processed").alias("nodes_processed"), F.sum("nodes_split").alias("nodes_split"), F.max("n_rows").alias("most_rows"))
+
+
+def round_log(spark, d):
+    df = _store(training(spark, d), "training")
+    booster = EraBooster(CONFIG).fit(df, FEATURES, "y", "era", num_rounds=2, eval_sets=[("held", df)])
+    return booster.round_log(spark)
+
+
+def feature_sample(spark, d):
+    return spark.createDataFrame([(depth, f) for depth in range(3) for f in sampled_features(10, 0.3, 42, 0, depth)], "depth int, feature int")
+
+
+def csv_roundtrip(spark, d):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="erawood-")
+    path = f"{base}/csv-{uuid.uuid4().hex}"
+    io.write_csv(_table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), path)
+    return io.read_csv(spark, path, "p_partkey long, p_size int, p_retailprice double", ["p_partkey", "p_size"])
+
+
+def json_features(spark, d):
+    e = _table(spark, d, "events")
+    return e.select(F.from_json("props", "k int")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+def synthetic(spark, d):
+    df, names = io.synthetic_regression(spark, 4000, 20)
+    train, test = io.random_split(df)
+    return train.agg(F.count("*").alias("n")).withColumn("part", F.lit("train")).unionByName(test.agg(F.count("*").alias("n")).withColumn("part", F.lit("test")))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    booster, df = _fit(spark, d, 1)
+    return booster.predict(df).select("era", "y", "prediction")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        quantile_edges, bin_counts, prebinned_check, embedding_bins, era_encode, era_bucket, era_floor, era_index, era_weights, single_era,
+        grad_hist, grad_hist_arrow, dense_grid, prefix_scan, reverse_scan, node_totals, parent_gain, even_cuts, mass_cuts, era_gain, des_score,
+        best_split_root, best_split_arrow, fit_one_round, fit_two_rounds, fit_sql_engine, fit_predict, predict_packwise, fit_mass_cuts, fit_sampled_features,
+        predict_tree, predict_forest, partition_rows, era_corr, era_metrics, r2, mse, ann_sharpe, signal_clip, penalised_sharpe, rank_pct,
+        lag1, rolling_z, momentum, ffill, bfill, ffill_bfill, engineer_features, inf_to_null, excess_target, null_target_filter, type_casts, column_inference,
+        dir_agreement, top_corr, temporal_holdout, row_holdout, cv_folds, last_n, conflict_matrix, bundle_transform,
+        depth_log, round_log, feature_sample, csv_roundtrip, json_features, synthetic,
+    )
+}
+ORACLE_SQL: dict[str, str] = S.ORACLE_SQL
