@@ -67,15 +67,18 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform("__at", lambda p, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("__at", k - 1)))), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")
     )
-    return out.select(
-        *docs.columns,
-        "n_words",
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        n_symbols.alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
-    )
+    # A filter on a statistic must not be pushed below this projection, where each mention of it
+    # would be computed again: it isn't pushed through one that mentions the partition number.
+    zero = F.least(F.spark_partition_id(), F.lit(0)).cast("long")
+    made = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.length(F.array_join("__w", "")),
+        "n_symbols": n_symbols,
+        "n_lines": F.size("__lines"),
+        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("long")),
+    }
+    return out.select(*docs.columns, *[(x.cast("long") + zero).alias(c) for c, x in made.items()])
 
 
 def default_rules() -> list[Rule]:
@@ -142,12 +145,8 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept"}
     stats = with_stats(docs.select(*[c for c in docs.columns if c not in made]))
-    # A filter on kept must not be pushed below the statistics, which it would then compute again
-    # for each mention: it isn't pushed through a projection with a partition number.
-    stats = stats.withColumn("__part", F.spark_partition_id())
     base = stats.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    judged = cascade(base, [*base_rules(), *default_rules()], sample_rows)
-    return judged.withColumn("kept", F.col("kept") & (F.col("__part") >= 0)).drop("__part")
+    return cascade(base, [*base_rules(), *default_rules()], sample_rows)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
