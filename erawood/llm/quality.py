@@ -10,7 +10,7 @@ failing rule, never which documents are kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,15 +96,16 @@ def base_rules() -> list[Rule]:
     return [Rule("few_words", n < 50, F.lit(1.0)), Rule("repeated_words", F.col("n_repeat_words") * 100 > n * 50, F.lit(2.0))]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 1, measure: Callable[[DataFrame], DataFrame] = lambda d: d) -> list[Rule]:
     """The rules by conditional rejections per cost, estimated on about ``sample_rows`` rows.
 
-    A rule whose predicate is null lets the row pass. With an empty sample the order stays.
+    ``measure`` adds the columns that the rules read; it is applied to the sample alone. A rule
+    whose predicate is null lets the row pass. With an empty sample the order stays.
     """
     if len(rules) > 20:
         raise ValueError("at most 20 rules")
     total = docs.count()
-    sample = docs if total <= sample_rows else docs.sample(fraction=sample_rows / total, seed=seed)
+    sample = measure(docs if total <= sample_rows else docs.sample(fraction=sample_rows / total, seed=seed))
     pattern = F.concat(*[F.when(r.rejects, "1").otherwise("0") for r in rules])
     rows = sample.groupBy(pattern.alias("p")).agg(F.count("*").alias("n"), *[F.sum(r.cost).alias(f"c{i}") for i, r in enumerate(rules)]).collect()
     left, alive, ordered = list(range(len(rules))), sorted(rows, key=lambda r: r["p"]), []
@@ -144,9 +145,10 @@ def quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     with the computed ones are replaced.
     """
     made = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rule", "kept"}
-    stats = with_stats(docs.select(*[c for c in docs.columns if c not in made]))
-    base = stats.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    return cascade(base, [*base_rules(), *default_rules()], sample_rows)
+    docs = docs.select(*[c for c in docs.columns if c not in made])
+    ordered = order_rules(docs, [*base_rules(), *default_rules()], sample_rows, measure=with_stats)
+    base = with_stats(docs).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    return base.withColumn("failed_rule", first_failure(ordered)).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
