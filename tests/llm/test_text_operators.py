@@ -214,6 +214,9 @@ def test_leaks(spark, benchmark, docs, empty):
     got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(df, benchmark).collect()}
     assert set(got) == {(1, 100), (2, 100), (4, 101)}
     assert got[1, 100]["lcs"] == 1.0 and (got[1, 100]["first_word"], got[1, 100]["end_word"]) == (90, 130) and got[2, 100]["lcs"] > 0.8
+    accented = df.sparkSession.createDataFrame([(1, "Été à l'école " + prose(8, 30) + " ça où")], "item_id long, text string")
+    loud = df.sparkSession.createDataFrame([(7, prose(3, 80) + " " + ("Été à l'école " + prose(8, 30) + " ça où").upper() + " " + prose(4, 80))], "doc_id long, text string")
+    assert [r["item_id"] for r in decontamination.contaminated(loud, accented).collect()] == [1]
     kept = decontamination.keep_clean(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert decontamination.contaminated(empty, benchmark).count() == 0
