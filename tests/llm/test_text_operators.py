@@ -224,6 +224,18 @@ def test_leaks(spark, benchmark, docs, empty):
     assert decontamination.keep_clean(df, benchmark).count() == 3
 
 
+def test_leaks_in_many_documents_and_of_frequent_words(spark):
+    hot, plain = prose(70, 40), "alpha beta gamma delta alpha epsilon beta zeta gamma eta alpha theta beta iota"
+    rng = random.Random(9)
+    common = plain.split()
+    rows = [(i, " ".join(rng.choice(common) for _ in range(60)) + " " + prose(1000 + i, 40) + (" " + hot if i % 2 else "")) for i in range(200)]
+    rows += [(300 + i, prose(2000 + i, 70) + " " + plain + " " + prose(3000 + i, 70)) for i in range(10)]
+    items = spark.createDataFrame([(1, hot), (2, plain)], "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).where("lcs = 1").collect()
+    assert {r["doc_id"] for r in got if r["item_id"] == 1} == {i for i in range(200) if i % 2}
+    assert {r["doc_id"] for r in got if r["item_id"] == 2} >= {300 + i for i in range(10)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
