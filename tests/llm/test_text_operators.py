@@ -236,6 +236,24 @@ def test_leaks_in_many_documents_and_of_frequent_words(spark):
     assert {r["doc_id"] for r in got if r["item_id"] == 2} >= {300 + i for i in range(10)}
 
 
+def test_leaks_of_thousands_of_items(spark):
+    n = 2000
+    rng = random.Random(4)
+    vocabulary = [a + b + str(k) for a in WORDS for b in WORDS for k in range(12)]
+
+    def some(k):
+        return [rng.choice(vocabulary) for _ in range(k)]
+
+    items = [some(24) for _ in range(n)]
+    copies = [(i, " ".join(some(50) + items[i] + some(50))) for i in range(0, n, 4)]
+    changed = [(n + i, " ".join(some(50) + [w for k, w in enumerate(items[i]) if k % 8 != 5] + some(50))) for i in range(0, n, 4)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(copies + changed, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, benchmark).collect()}
+    found = [sum((base + i, i) in got for i in range(0, n, 4)) for base in (0, n)]
+    assert found == [n // 4, n // 4]
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
