@@ -254,6 +254,21 @@ def test_leaks_of_thousands_of_items(spark):
     assert found == [n // 4, n // 4]
 
 
+def test_leaks_of_very_short_and_very_long_items(spark):
+    rng = random.Random(6)
+    long = prose(80, 6000).split()
+    cut = [w for k, w in enumerate(long) if k % 10 != 3]
+    short = [tuple(rng.choice(WORDS) for _ in range(3)) for _ in range(30)]
+    rows = [(i, " ".join([prose(4000 + i, 90), *short[i], prose(5000 + i, 90)])) for i in range(30)]
+    rows += [(100 + i, " ".join(WORDS)[i:] + " " + prose(6000 + i, 20)) for i in range(300)]
+    rows += [(50, " ".join([prose(81, 50), *long, prose(82, 50)])), (51, " ".join([prose(83, 900), *cut, prose(84, 90)])), (52, prose(85, 6000))]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(short)] + [(50, " ".join(long))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert sum((i, i) in got for i in range(30)) == 30
+    assert got[50, 50]["lcs"] == 1.0 and (got[50, 50]["first_word"], got[50, 50]["end_word"]) == (50, 6050)
+    assert got[51, 50]["lcs"] >= 0.89 and (52, 50) not in got
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
