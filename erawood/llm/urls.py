@@ -1,7 +1,7 @@
 """URL filter: rules first, then path templates learned for each host.
 
 A host's paths form a tree. A segment of a path becomes a wildcard if it looks variable (digits,
-hex strings, long mixed strings) or if its parent has many children of the host's pages; siblings
+hex strings, long mixed strings) or if it has few labelled pages and its parent many children; siblings
 whose labelled rates don't differ statistically (two-proportion test, one-sided smoothed counts)
 share a branch. A template, host plus generalised segments, is rejected if its smoothed purity,
 (bad + PRIOR * rate) / (labelled + PRIOR) with the rate of all labelled pages, reaches the
@@ -26,7 +26,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Children of one node from which on its children are one variable segment.
+#: Children of one node from which on those with few labelled pages are one variable segment.
 MANY = 20
 PRIOR = 4.0
 PURITY = 0.9
@@ -92,7 +92,7 @@ def learned(pages: DataFrame) -> DataFrame:
         p1, p2 = _rate(F.col("cbad"), F.col("cn"), prior), _rate(rest_bad, rest_n, prior)
         error = F.sqrt(p1 * (1 - p1) / (F.col("cn") + PRIOR) + p2 * (1 - p2) / (rest_n + PRIOR))
         alike = F.abs(p1 - p2) <= Z * error
-        merge = both.select("host", "parent", "child", ((F.col("many") > 1) & ((F.col("many") > MANY) | alike)).alias("merge"))
+        merge = both.select("host", "parent", "child", ((F.col("many") > 1) & (alike | ((F.col("many") > MANY) & (F.col("cn") < LEAST_LABELLED)))).alias("merge"))
         joined = current.withColumn("parent", parent).withColumn("child", F.get("template", at)).join(merge, ["host", "parent", "child"], "left")
         renamed = F.transform("template", lambda s, i: F.when((i == at) & F.coalesce(F.col("merge"), F.lit(False)), F.lit("*")).otherwise(s))
         current = cut(joined.select("host", "segs", "n", "bad", "depth", renamed.alias("template")))

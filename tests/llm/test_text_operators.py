@@ -401,6 +401,13 @@ def test_templates_are_learned(spark):
     assert got[55]["template"] == "/bad/*" and len(got) == 120
 
 
+def test_bad_branch_among_many_siblings(spark):
+    rows = [(100 * k + i, f"http://h.io/part{chr(97 + k % 26)}{'x' * (k // 26)}/{i}") for k in range(31) for i in range(60)]
+    labels = spark.createDataFrame([(p, int(p < 100)) for p, _ in rows if p % 100 < 50], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+    assert {p for p, v in got.items() if v == "block"} == set(range(60))
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
