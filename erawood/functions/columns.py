@@ -12,9 +12,10 @@ def as_single(x: Column) -> Column:
 
 
 def bin_of(x: Column, edges: list[float]) -> Column:
-    """Edges strictly below ``x``, both in single precision. NaN comes after every number."""
+    """Edges strictly below ``x``, both in single precision. Missing values, null or NaN, come after every number."""
     held = F.array(*[F.lit(float(e)).cast("float") for e in edges]) if edges else F.array().cast("array<float>")
-    return F.size(F.filter(held, lambda e: e < x.cast("float"))).cast("tinyint")
+    number = F.coalesce(x.cast("float"), F.lit(float("nan")).cast("float"))
+    return F.size(F.filter(held, lambda e: e < number)).cast("tinyint")
 
 
 def gain(g: Column, n: Column, l2: float) -> Column:

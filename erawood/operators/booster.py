@@ -4,24 +4,24 @@ A round grows one tree, as all trees of a pack are equal: they start from the sa
 the features of a depth and know no chance of their own. Each depth is one job over the binned
 rows: histogram, scores, the best split of each node. What comes back is one row for each node.
 Rows are never rewritten with a node number: the tree so far is a column expression over their
-bins. Predictions are columns too, and are stored every ``store_every`` rounds.
+bins. Predictions are columns too; every ``store_every`` rounds they are stored, and the copy
+before is deleted. Rows without a target, null or NaN, take no part.
 """
 
 from __future__ import annotations
 
 import json
 import random
-import tempfile
 import time
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erawood.config import BoostConfig
 from erawood.operators import binning, cuts, histogram, metrics, splits
 from erawood.operators.trees import Tree, forest_value, from_model_table, model_table, node_of, value_of
+from erawood.scratch import discard, scratch_path, written
 
 
 def sampled_features(n: int, fraction: float, seed: int | None, number: int, depth: int) -> list[int]:
@@ -33,16 +33,33 @@ def sampled_features(n: int, fraction: float, seed: int | None, number: int, dep
     return sorted(order[:k])
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    """Ends the lineage by a table in the folder of spark.checkpoint.dir, which executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="erawood-"))
-    path = f"{(named or sc.getCheckpointDir()).rstrip('/')}/erawood-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _complete(df: DataFrame, target: str, era: str | None) -> DataFrame:
+    """The rows that a fit can use: with a target, and with an era if there are eras."""
+    y = F.col(target).cast("double")
+    return df.where(y.isNotNull() & ~F.isnan(y) & (F.col(era).isNotNull() if era else F.lit(True)))
+
+
+class _Stored:
+    """Rows with a growing prediction: a stored copy and the trees that came after it."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.name, self.path, self.pending = name, None, 0
+        self._store(df)
+
+    def _store(self, df: DataFrame) -> None:
+        before, self.path, self.pending = self.path, scratch_path(df.sparkSession, self.name), 0
+        self.rows = written(df, self.path)
+        if before is not None:
+            discard(df.sparkSession, before)
+
+    def add(self, value: Column, store_every: int) -> None:
+        self.rows = self.rows.withColumn("pred", F.col("pred") + value)
+        self.pending += 1
+        if self.pending >= store_every:
+            self._store(self.rows)
+
+    def drop(self) -> None:
+        discard(self.rows.sparkSession, self.path)
 
 
 class EraBooster:
@@ -79,7 +96,8 @@ class EraBooster:
     ) -> EraBooster:
         """Trains on ``df``; without ``era`` all rows are one era. Eval sets need target and era too.
 
-        ``eval_every`` of 0 or less leaves eval metrics out.
+        Rows with a null or NaN target, or a null era, are left out, of eval sets too. A null
+        feature is NaN. ``eval_every`` of 0 or less leaves eval metrics out.
         """
         for c in [*features, target, *([era] if era else [])]:
             if c not in df.columns:
@@ -87,39 +105,37 @@ class EraBooster:
         if not features:
             raise ValueError("no feature column")
         self.features = list(features)
+        df = _complete(df, target, era)
         binned, self.edges = binning.preprocess(df, self.features, self.config.max_bins, self.config.prebinned, self.approximate_edges)
-        state = _store(self._state(binned, target, era), "rows")
+        state = _Stored(self._state(binned, target, era), "rows")
         evals = []
         for name, e in eval_sets:
             if target not in e.columns or (era and era not in e.columns):
                 raise ValueError(f"eval set {name!r} lacks its target or era")
-            ready = binning.bin_new(e, self.features, self.edges, self.config.max_bins)
-            evals.append((name, _store(self._state(ready, target, era), "eval")))
+            ready = binning.bin_new(_complete(e, target, era), self.features, self.edges, self.config.max_bins)
+            evals.append((name, _Stored(self._state(ready, target, era), "eval")))
         self._trees, self.history, self.depth_log = [], [], []
         factor = self.config.tree_weight * self.config.pack_size
-        pending = 0
         for number in range(num_rounds):
             began = time.perf_counter()
-            tree = self._grow(state, number)
+            tree = self._grow(state.rows, number)
             self._trees.append(tree)
-            moved = F.col("pred") + factor * value_of(tree, F.col("bins"))
-            state = state.withColumn("pred", moved)
-            evals = [(name, e.withColumn("pred", moved)) for name, e in evals]
-            pending += 1
-            if pending == self.store_every:
-                state, pending = _store(state, "rows"), 0
-                evals = [(name, _store(e, "eval")) for name, e in evals]
+            more = number + 1 < num_rounds
+            for held in (state, *(e for _, e in evals)):
+                held.add(factor * value_of(tree, F.col("bins")), self.store_every if more else num_rounds + 1)
             entry: dict = {"round": number}
             if log_metrics:
-                entry["train_corr"] = metrics.mean_era_correlation(state, "y", "pred")
+                entry["train_corr"] = metrics.mean_era_correlation(state.rows, "y", "pred")
             due = eval_every > 0 and ((number + 1) % eval_every == 0 or number + 1 == num_rounds)
             for name, e in evals if due else []:
-                entry[f"{name}_corr"] = metrics.mean_era_correlation(e, "y", "pred")
+                entry[f"{name}_corr"] = metrics.mean_era_correlation(e.rows, "y", "pred")
             seconds = time.perf_counter() - began
             entry |= {"round_seconds": seconds, "trees_per_second": self.config.pack_size / max(seconds, 1e-9)}
             self.history.append(entry)
             if round_callback is not None:
                 round_callback(number, dict(entry))
+        for held in (state, *(e for _, e in evals)):
+            held.drop()
         return self
 
     @staticmethod
@@ -159,7 +175,7 @@ class EraBooster:
     def _search(self, rows: DataFrame, features: list[int]) -> DataFrame:
         c = self.config
         if self.engine == "arrow":
-            return splits.best_splits_arrow(histogram.histogram_arrow(rows, features, c.max_bins), c)
+            return splits.best_splits_packed(histogram.histogram_packed(rows, features, c.max_bins), c)
         hist = histogram.histogram(rows, features, c.max_bins)
         pre = histogram.prefix_sums(hist, c.max_bins)
         if 0 < c.k_cuts < c.max_bins - 1:

@@ -1,4 +1,9 @@
-"""Gradient histograms by (node, feature, era, bin), and their prefix sums."""
+"""Gradient histograms by (node, feature, era, bin), and their prefix sums.
+
+The packed form has a row for each (node, feature, era) whose ``cells`` are the counts and the
+gradient sums of all bins, as little-endian doubles: one row where the plain form has as many as
+there are bins.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ("node_id", "feature", "era", "bin")
-#: Cells that a task adds up in place; more are summed by sorting.
+#: Cells that a task holds before it sends them on, and values that it bins at a time.
 DENSE_CELLS = 1 << 22
+_VALUES = 1 << 22
+PACKED = "node_id int, feature int, era int, cells binary"
 
 
 def histogram(rows: DataFrame, features: list[int] | None = None, max_bins: int | None = None) -> DataFrame:
@@ -28,57 +35,130 @@ def histogram(rows: DataFrame, features: list[int] | None = None, max_bins: int
     return long.groupBy(*KEYS).agg(F.count("*").alias("cnt"), F.sum("grad").alias("g"))
 
 
-def histogram_arrow(rows: DataFrame, features: list[int], max_bins: int) -> DataFrame:
-    """The same histogram; tasks add their Arrow batches up with numpy and send a row for each cell."""
-    schema = "node_id int, feature int, era int, bin int, cnt long, g double"
+def packed_batch(node: np.ndarray, feature: np.ndarray, era: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+    """A batch of the packed form from the cells as a matrix."""
+    size = cells.shape[1] * 8
+    offsets = np.arange(len(cells) + 1, dtype=np.int32) * size
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(cells, "<f8"))])
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (node, feature, era)), blobs], ["node_id", "feature", "era", "cells"])
+
+
+def unpacked(column: pa.Array, max_bins: int) -> np.ndarray:
+    """The cells of a batch as a matrix: counts, then gradient sums."""
+    _, offsets, data = column.buffers()
+    start = np.frombuffer(offsets, np.int32, 1, 4 * column.offset)[0] if len(column) else 0
+    return np.frombuffer(data, "<f8", len(column) * 2 * max_bins, start).reshape(-1, 2 * max_bins) if len(column) else np.zeros((0, 2 * max_bins))
+
+
+def _of_rows(batches, wanted: np.ndarray, max_bins: int):
+    """Packed cells of the rows of one task."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    most = max(1, DENSE_CELLS // max(1, len(wanted) * max_bins))
+
+    def sent():
+        for (node, era), cells in held.items():
+            some = np.flatnonzero(cells[:, :max_bins].any(1))
+            yield packed_batch(np.full(len(some), node), wanted[some], np.full(len(some), era), cells[some])
+        held.clear()
+
+    for node, era, grad, bins in _chunks(batches, wanted, max_bins):
+        low = int(era.min())
+        span = int(era.max()) - low + 1
+        groups, which = np.unique(node * span + (era - low), return_inverse=True)
+        n, size = len(wanted), len(wanted) * max_bins
+        for lo in range(0, len(groups), most):
+            at = np.flatnonzero((which >= lo) & (which < lo + most)) if len(groups) > most else slice(None)
+            here = min(most, len(groups) - lo)
+            key = bins[at] + np.arange(n) * max_bins + (which[at] - lo)[:, None] * size
+            weight = np.repeat(grad[at], n)
+            flat = key.ravel()
+            if (bins[at] < 0).any():  # bins that don't count
+                ok = (bins[at] >= 0).ravel()
+                flat, weight = flat[ok], weight[ok]
+            cells = np.concatenate([np.bincount(flat, minlength=here * size).reshape(here, n, max_bins).astype(float), np.bincount(flat, weight, here * size).reshape(here, n, max_bins)], axis=2)
+            for i in range(here):
+                k = (int(groups[lo + i]) // span, int(groups[lo + i]) % span + low)
+                held[k] = held[k] + cells[i] if k in held else cells[i]
+            if len(held) >= most:
+                yield from sent()
+    yield from sent()
+
+
+def _chunks(batches, wanted: np.ndarray, max_bins: int):
+    """Node, era, gradient and wanted bins (-1 for those that don't count) of some thousand rows at a time."""
+    rows: list[pa.RecordBatch] = []
+
+    def joined():
+        t = pa.Table.from_batches(rows).combine_chunks()
+        rows.clear()
+        node, era, grad = (t.column(c).to_numpy() for c in ("node_id", "era", "grad"))
+        column = t.column("bins").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        bins = values.reshape(len(column), -1)[:, wanted].astype(np.int64)
+        bins[(bins < 0) | (bins >= max_bins)] = -1
+        return node.astype(np.int64), era.astype(np.int64), grad, bins
+
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows.append(batch)
+        n += batch.num_rows
+        if n * len(wanted) >= _VALUES:
+            yield joined()
+            n = 0
+    if rows:
+        yield joined()
+
+
+def _summed(batches, max_bins: int):
+    """Sums the cells of rows that are sorted by node, feature and era; the last key may go on in the next batch."""
+    held: tuple[np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        cells = unpacked(batch.column("cells"), max_bins)
+        if held is not None:
+            keys, cells = np.concatenate([held[0], keys]), np.concatenate([held[1], cells])
+        heads = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1])
+        sums = np.add.reduceat(cells, heads)
+        keys = keys[heads]
+        held = (keys[-1:], sums[-1:])
+        if len(keys) > 1:
+            yield packed_batch(*keys[:-1].T, sums[:-1])
+    if held is not None:
+        yield packed_batch(*held[0].T, held[1])
+
+
+def histogram_packed(rows: DataFrame, features: list[int], max_bins: int) -> DataFrame:
+    """The histogram of ``(node_id, era, bins, grad)`` in packed form, with numpy.
+
+    Tasks add up their rows; what they send is dealt by node, feature and era, sorted and added up
+    as it comes, so that no task holds all cells of a feature.
+    """
     wanted = np.array(features, np.int64)
+    parts = rows.select("node_id", "era", "bins", "grad").mapInArrow(lambda x: _of_rows(x, wanted, max_bins), PACKED)
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.repartition(width, "node_id", "feature", "era").sortWithinPartitions("node_id", "feature", "era")
+    return dealt.mapInArrow(lambda x: _summed(x, max_bins), PACKED)
+
+
+def histogram_arrow(rows: DataFrame, features: list[int], max_bins: int) -> DataFrame:
+    """The same histogram as ``histogram``, by way of the packed form."""
 
-    def run(batches):
-        total: dict[tuple, list[np.ndarray]] = {}
+    def plain(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("bins")
-            width = len(column.values) // max(len(column), 1)
-            bins = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[:, wanted].astype(np.int64)
-            node, era = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node_id", "era"))
-            grad = batch.column("grad").to_numpy(zero_copy_only=False)
-            groups, which = np.unique(np.stack([node, era]), axis=1, return_inverse=True)
-            which = which.reshape(-1)
-            size = groups.shape[1] * max_bins
-            step = max(1, DENSE_CELLS // max(size, 1))
-            for lo in range(0, len(wanted), step):
-                some = bins[:, lo : lo + step]
-                n = some.shape[1]
-                ok = (some >= 0) & (some < max_bins)
-                key = (which[:, None] * n + np.arange(n)) * max_bins + some
-                flat, weight = key[ok], np.broadcast_to(grad[:, None], some.shape)[ok]
-                cnt = np.bincount(flat, minlength=size * n).reshape(-1, n, max_bins)
-                g = np.bincount(flat, weight, size * n).reshape(-1, n, max_bins)
-                for i in range(groups.shape[1]):
-                    at = (int(groups[0, i]), int(groups[1, i]), lo)
-                    if at in total:
-                        total[at][0] += cnt[i]
-                        total[at][1] += g[i]
-                    else:
-                        total[at] = [cnt[i].copy(), g[i].copy()]
-            if sum(x[0].size for x in total.values()) > DENSE_CELLS:
-                yield from _cells(total, wanted)
-                total = {}
-        yield from _cells(total, wanted)
-
-    parts = rows.select("node_id", "era", "bins", "grad").mapInArrow(run, schema)
-    # dealt by feature alone: the sums and what follows by feature need no other shuffle
-    return parts.repartition("feature").groupBy(*KEYS).agg(F.sum("cnt").alias("cnt"), F.sum("g").alias("g"))
-
-
-def _cells(total: dict, wanted: np.ndarray):
-    for (node, era, lo), (cnt, g) in total.items():
-        f, b = np.nonzero(cnt)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(f), node, np.int32)), pa.array(wanted[lo + f].astype(np.int32)), pa.array(np.full(len(f), era, np.int32)), pa.array(b.astype(np.int32)), pa.array(cnt[f, b].astype(np.int64)), pa.array(g[f, b])],
-            ["node_id", "feature", "era", "bin", "cnt", "g"],
-        )
+            cells = unpacked(batch.column("cells"), max_bins)
+            i, b = np.nonzero(cells[:, :max_bins])
+            node, feature, era = (batch.column(c).to_numpy()[i] for c in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(feature), pa.array(era), pa.array(b.astype(np.int32)), pa.array(cells[i, b].astype(np.int64)), pa.array(cells[i, b + max_bins])],
+                [*KEYS, "cnt", "g"],
+            )
+
+    return histogram_packed(rows, features, max_bins).mapInArrow(plain, "node_id int, feature int, era int, bin int, cnt long, g double")
 
 
 def densified(hist: DataFrame, max_bins: int) -> DataFrame:

@@ -11,8 +11,10 @@ from erawood.config import BoostConfig
 from erawood.functions.columns import gain, newton
 from erawood.operators.cuts import even_cuts, mass_cuts_of
 from erawood.operators.eras import era_weight
+from erawood.operators.histogram import unpacked
 
-#: Digits of a score that count; float noise can't flip a tie below them.
+#: Digits of a score that count. Sums have no order, so equal scores come out a little apart; below
+#: these digits they are ties, which larger left counts, features and thresholds decide.
 DIGITS = 10
 
 
@@ -67,16 +69,14 @@ def _decisions(tops: DataFrame, config: BoostConfig) -> DataFrame:
     )
 
 
-def score_feature(node: np.ndarray, era: np.ndarray, bins: np.ndarray, cnt: np.ndarray, g: np.ndarray, config: BoostConfig) -> list[tuple]:
-    """Of one feature's cells, each node's best eligible (node, score, left count, thr, lg, tc, tg)."""
+def score_feature(node: np.ndarray, era: np.ndarray, cells: np.ndarray, config: BoostConfig) -> list[tuple]:
+    """Of one feature's packed cells, each node's best eligible (node, score, left count, thr, lg, tc, tg)."""
     b, l2 = config.max_bins, config.lambda_l2
     if b < 2 or not len(node):
         return []
-    groups, which = np.unique(np.stack([node, era]), axis=1, return_inverse=True)
-    which = which.reshape(-1)
-    n, s = np.zeros((groups.shape[1], b), np.int64), np.zeros((groups.shape[1], b))
-    np.add.at(n, (which, bins), cnt)
-    np.add.at(s, (which, bins), g)
+    order = np.lexsort((era, node))
+    node, cells = node[order], cells[order]
+    n, s = cells[:, :b].astype(np.int64), cells[:, b:]
     cuts = even_cuts(b, config.k_cuts) if config.cut_selection == "even" else mass_cuts_of(n.sum(0).tolist(), config.k_cuts)
     tc, tg = n.sum(1)[:, None], s.sum(1)[:, None]
     lc, lg = np.cumsum(n, 1)[:, cuts], np.cumsum(s, 1)[:, cuts]
@@ -89,33 +89,55 @@ def score_feature(node: np.ndarray, era: np.ndarray, bins: np.ndarray, cnt: np.n
     w = np.where(valid, weight, 0.0)
     made = np.where(valid, made, 0.0)
     way = np.where(valid, np.where(left < right, 1.0, -1.0), 0.0)  # values are the negatives
-    heads = np.flatnonzero(np.concatenate([[True], groups[0, 1:] != groups[0, :-1]]))
+    heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     add = lambda x: np.add.reduceat(x, heads, axis=0)
     total = np.maximum(add(w), 1e-300)
     mean = add(w * made) / total
-    place = np.cumsum(np.isin(np.arange(groups.shape[1]), heads)) - 1
+    place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(node))))
     std = np.sqrt(add(w * (made - mean[place]) ** 2) / total)
     score = np.round(mean - config.lambda_dro * std + config.direction_weight * add(w * way) / total, DIGITS)
     lc, lg, tc, tg = add(lc), add(lg), add(tc)[:, 0], add(tg)[:, 0]
     m = config.min_samples_leaf
     ok = (lc >= m) & (tc[:, None] - lc >= m) & np.isfinite(score)
     out = []
-    for i, v in enumerate(groups[0, heads].tolist()):
+    for i, v in enumerate(node[heads].tolist()):
         if ok[i].any():
             j = max(np.flatnonzero(ok[i]).tolist(), key=lambda j: (score[i, j], lc[i, j], cuts[j]))
             out.append((v, float(score[i, j]) + 0.0, int(lc[i, j]), cuts[j], float(lg[i, j]), int(tc[i]), float(tg[i])))
     return out
 
 
-def best_splits_arrow(hist: DataFrame, config: BoostConfig) -> DataFrame:
-    """The decisions of a histogram dealt by feature; a feature's cells are bounded by nodes x eras x bins."""
+_TOPS = "node_id int, score double, lc long, feature int, thr int, lg double, tc long, tg double"
+
+
+def best_splits_packed(hist: DataFrame, config: BoostConfig) -> DataFrame:
+    """The decisions of a packed histogram, dealt by feature; a feature's rows are bounded by nodes x eras."""
 
     def run(key, t):
-        a = [t.column(c).to_numpy() for c in ("node_id", "era", "bin", "cnt", "g")]
-        rows = [(v, s, lc, key[0].as_py(), thr, lg, tc, tg) for v, s, lc, thr, lg, tc, tg in score_feature(*a, config)]
+        cells = unpacked(t.column("cells").combine_chunks(), config.max_bins)
+        found = score_feature(t.column("node_id").to_numpy(), t.column("era").to_numpy(), cells, config)
+        rows = [(v, s, lc, key[0].as_py(), thr, lg, tc, tg) for v, s, lc, thr, lg, tc, tg in found]
         kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()]
         columns = list(zip(*rows)) or [()] * 8
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["node_id", "score", "lc", "feature", "thr", "lg", "tc", "tg"])
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _TOPS.split(", ")])
 
-    tops = hist.groupBy("feature").applyInArrow(run, "node_id int, score double, lc long, feature int, thr int, lg double, tc long, tg double")
+    width = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tops = hist.repartition(width, "feature").groupBy("feature").applyInArrow(run, _TOPS)
     return _decisions(tops.groupBy("node_id").agg(F.max(F.struct("score", "lc", "feature", "thr", "lg", "tc", "tg")).alias("b")), config)
+
+
+def best_split_of(hist: DataFrame, node: int, config: BoostConfig) -> DataFrame:
+    """The decision of one node: a row, or none."""
+    return best_splits_packed(hist.where(F.col("node_id") == node), config)
+
+
+def rescored(rows: DataFrame, decisions: DataFrame, config: BoostConfig) -> DataFrame:
+    """``(node_id, score, recomputed)``: the score of each decision, taken again from its node's rows, by eras."""
+    bin_of_split = F.get("bins", F.col("feature")).cast("int")
+    at = rows.select("node_id", "era", "grad", "bins").join(F.broadcast(decisions.select("node_id", "feature", "threshold", "score")), "node_id")
+    left = bin_of_split <= F.col("threshold")
+    sides = at.groupBy("node_id", "era", "feature", F.col("threshold").alias("thr")).agg(
+        F.count_if(left).alias("lc"), F.coalesce(F.sum(F.when(left, F.col("grad"))), F.lit(0.0)).alias("lg"), F.count("*").alias("tc"), F.sum("grad").alias("tg")
+    )
+    again = scores(era_gains(sides, config), config).select("node_id", F.col("score").alias("recomputed"))
+    return decisions.select("node_id", "score").join(again, "node_id")

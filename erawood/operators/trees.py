@@ -56,10 +56,25 @@ def _ints(xs: list[int]) -> Column:
     return F.array(*[F.lit(int(x)) for x in xs])
 
 
+#: Trees of so many nodes at most are routed by compiled conditions.
+SMALL = 255
+
+
+def _conditions(tree: Tree, bins: Column, leaf) -> Column:
+    """Nested conditions, which Spark compiles; ``leaf(node)`` is the result at a node without children."""
+
+    def at(n: int) -> Column:
+        if tree.left[n] < 0:
+            return leaf(n)
+        return F.when(F.get(bins, F.lit(tree.feature[n])) <= tree.threshold[n], at(tree.left[n])).otherwise(at(tree.right[n]))
+
+    return at(0)
+
+
 def node_of(tree: Tree, bins: Column) -> Column:
-    """The leaf that a row's bins reach; one step for each level, without a join."""
-    if len(tree) == 1:
-        return F.lit(0)
+    """The leaf that a row's bins reach, without a join; large trees take one step for each level."""
+    if len(tree) <= SMALL:
+        return _conditions(tree, bins, F.lit)
     feature, threshold, left, right = (_ints(x) for x in (tree.feature, tree.threshold, tree.left, tree.right))
 
     def step(n, _):
@@ -71,6 +86,8 @@ def node_of(tree: Tree, bins: Column) -> Column:
 
 
 def value_of(tree: Tree, bins: Column) -> Column:
+    if len(tree) <= SMALL:
+        return _conditions(tree, bins, lambda n: F.lit(float(tree.value[n])))
     return F.get(F.array(*[F.lit(float(v)) for v in tree.value]), node_of(tree, bins))
 
 

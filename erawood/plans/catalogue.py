@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erawood.config import BoostConfig
 from erawood.functions.columns import finite, gain, signal
 from erawood.operators import binning, bundling, cuts, eras, features, histogram, metrics, splits, trees
-from erawood.operators.booster import EraBooster, _store, sampled_features
+from erawood.operators.booster import EraBooster, sampled_features
 from erawood.plans import sql as S
+from erawood.scratch import scratch_path, written
 from erawood.sources import io
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -45,7 +43,7 @@ def _r(c: str, digits: int = 6):
 
 
 def quantile_edges(spark, d):
-    return binning.edge_table(training(spark, d), FEATURES, BINS).select("feature", "i", F.col("edge").cast("double").alias("edge"))
+    return binning.edge_table(training(spark, d), FEATURES, BINS)
 
 
 def bin_counts(spark, d):
@@ -144,7 +142,7 @@ def best_split_root(spark, d):
 
 
 def best_split_arrow(spark, d):
-    return _decision(splits.best_splits_arrow(histogram.histogram_arrow(_binned(spark, d), [0, 1, 2], BINS), CONFIG))
+    return _decision(splits.best_splits_packed(histogram.histogram_packed(_binned(spark, d), [0, 1, 2], BINS), CONFIG))
 
 
 def _decision(b):
@@ -154,7 +152,7 @@ def _decision(b):
 def _fit(spark, d, rounds: int, engine: str = "arrow", **changes) -> tuple[EraBooster, DataFrame]:
     from dataclasses import replace
 
-    df = _store(training(spark, d), "training")
+    df = written(training(spark, d), scratch_path(spark, "training"))
     return EraBooster(replace(CONFIG, **changes), engine).fit(df, FEATURES, "y", "era", num_rounds=rounds, log_metrics=False), df
 
 
@@ -362,7 +360,7 @@ def depth_log(spark, d):
 
 
 def round_log(spark, d):
-    df = _store(training(spark, d), "training")
+    df = written(training(spark, d), scratch_path(spark, "training"))
     booster = EraBooster(CONFIG).fit(df, FEATURES, "y", "era", num_rounds=2, eval_sets=[("held", df)])
     return booster.round_log(spark)
 
@@ -372,8 +370,7 @@ def feature_sample(spark, d):
 
 
 def csv_roundtrip(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="erawood-")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     io.write_csv(_table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), path)
     return io.read_csv(spark, path, "p_partkey long, p_size int, p_retailprice double", ["p_partkey", "p_size"])
 

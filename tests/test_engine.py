@@ -108,7 +108,7 @@ def test_hand_made_node(spark):
     got = {r["thr"]: r for r in splits.scores(splits.era_gains(pre, config), config).collect()}
     for thr, left, mean, score in ((0, 1, 0.078666667, -0.121333333), (1, 3, 0.002222222, -0.197777778), (2, 5, 0.007936508, -0.192063492)):
         assert got[thr]["lc"] == left and abs(got[thr]["mean"] - mean) < 1e-8 and abs(got[thr]["score"] - score) < 1e-8 and got[thr]["std"] == 0
-    best = splits.best_splits_arrow(histogram.histogram_arrow(rows, [0], 4), config).first()
+    best = splits.best_splits_packed(histogram.histogram_packed(rows, [0], 4), config).first()
     assert best["threshold"] == 0 and abs(best["score"] + 0.121333333) < 1e-8
 
 
