@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from erawood.scratch import discard, scratch_path, shared_dir, written
 
 #: Bytes of text that one numpy step handles at a time.
 CHUNK_BYTES = 4 << 20
@@ -20,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="erawood-"))
-    return named or sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/erawood-{name}-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def freed_shuffles(spark: SparkSession):
     """Within it, shuffle files go when the query that made them has ended."""
@@ -53,11 +42,41 @@ def freed_shuffles(spark: SparkSession):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, scratch_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    with freed_shuffles(df.sparkSession):
+        return written(df, path, "zstd")
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, changed where a column has them already (case does not matter to Spark)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names, dots in them too."""
+    own, made = df.columns, schema.fieldNames()
+    places = [f"c{i}" for i in range(len(made))]
+
+    def renamed(batches):
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, own) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, places)
+
+    plain = StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(places, schema.fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(own))]).mapInArrow(renamed, plain).toDF(*made)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,6 +85,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a ``Members`` filter: 8 MB, whatever the input.
+MEMBER_BITS = 1 << 26
+_PLACES = 3
+
+
+def _member_places(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id, a row for each of the filter's hash functions."""
+    h = ids.astype(np.int64).view(np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        for k in range(_PLACES):
+            x = (h + np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            out.append((x >> np.uint64(38)).astype(np.int64))
+    return np.stack(out)
+
+
+def members(batches_of_ids: DataFrame, column: str = "id") -> Column | None:
+    """A predicate maker over long columns that is true for all ids in ``column`` and few others.
+
+    The filter has a fixed size; when it fills up more rows pass it, and none is lost. Tasks set
+    its words, which are combined by partial aggregation, so that the words alone reach the driver.
+    """
+
+    def words(batches):
+        held = np.zeros(MEMBER_BITS // 64, np.uint64)
+        for batch in batches:
+            at = _member_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+            np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        at = np.flatnonzero(held)
+        for lo in range(0, max(len(at), 1), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some].view(np.int64))], ["word", "bits"])
+
+    ids = batches_of_ids.select(F.col(column).cast("long").alias("id")).where("id is not null")
+    rows = ids.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(MEMBER_BITS // 64, np.uint64)
+    held[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    shared = batches_of_ids.sparkSession.sparkContext.broadcast(held)
+
+    def maybe(ids: pa.Array) -> pa.Array:
+        at = _member_places(ids.to_numpy(zero_copy_only=False))
+        bits = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        return pa.array(bits.all(axis=0))
+
+    test = F.arrow_udf(maybe, "boolean")
+    return lambda c: c.isNotNull() & test(F.coalesce(c.cast("long"), F.lit(0).cast("long")))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

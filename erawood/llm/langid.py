@@ -1,10 +1,13 @@
 """Languages of documents as mixtures.
 
 Each language has a distribution over hashed byte n-grams (three bytes, with word edges), fitted
-on a bounded sample of labelled rows. A document's n-grams are taken as drawn from a mixture of
-the languages; expectation-maximisation estimates the proportions, and the set of languages is
-selected by penalised likelihood: languages go, weakest first, while that lowers the
-log-likelihood by less than the penalty of half the log of the evidence for each.
+on a bounded sample of labelled rows, drawn for each label apart so that rare labels are in it. A
+distribution is mixed with that of all labels and the uniform one in the same parts for each
+language, so n-grams that no label has seen speak for none, however little a label was fitted on.
+A document's n-grams are taken as drawn from a mixture of the languages; expectation-maximisation
+estimates the proportions, and the set of languages is selected by penalised likelihood: languages
+go, weakest first, while that lowers the log-likelihood by less than the penalty of half the log
+of the evidence for each.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erawood.llm.common import slices, table, text_bytes
+from erawood.llm.common import mapped, quoted, slices, table, text_bytes
 
-#: Hashed n-grams; with the number of languages this bounds the model.
+#: Hashed n-grams; with more languages than so many, each has fewer, which bounds the model.
 BUCKETS = 1 << 16
-#: Labelled rows, about, that the model is fitted on.
+WIDE_LANGUAGES = 512
+LEAST_BUCKETS = 1 << 12
+#: Labelled rows, about, that the model is fitted on; and of each label, if it has as many.
 TRAIN_ROWS = 20_000
-MAX_LANGUAGES = 512
-SMOOTHING = 0.1
-EM_STEPS = 30
+LABEL_ROWS = 200
+#: Parts of the pooled and of the uniform distribution in each language's.
+POOLED, UNIFORM = 0.02, 0.001
+#: Proportions that move less in a step have converged.
+CONVERGED = 1e-3
 UNKNOWN = "und"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -31,7 +38,14 @@ _EDGE = np.ones(256, bool)
 _EDGE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_count(languages: int) -> int:
+    n = BUCKETS
+    while n > LEAST_BUCKETS and n * languages > BUCKETS * WIDE_LANGUAGES:
+        n //= 2
+    return n
+
+
+def grams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and document of each trigram of letter bytes; runs of other bytes are one edge."""
     size = np.diff(offsets)
     doc = np.repeat(np.arange(len(size)), size)
@@ -45,7 +59,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]
     same = doc[2:] == doc[:-2]
-    key = (key * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    key = (key * np.uint32(0x9E3779B1)) >> np.uint32(33 - buckets.bit_length())
     return key[same].astype(np.int64), doc[2:][same]
 
 
@@ -54,10 +68,17 @@ def has_letter(texts: list[str | None]) -> np.ndarray:
 
 
 class LanguageModel:
+    """Distributions of the languages that were learned; a label whose rows have no n-gram is not."""
+
     def __init__(self, names: list[str], counts: np.ndarray):
-        self.names = names
-        p = counts.astype(np.float64) + SMOOTHING
-        self.p = np.ascontiguousarray((p / p.sum(1, keepdims=True)).T).astype(np.float32)
+        seen = counts.sum(1) > 0
+        self.names = [n for n, x in zip(names, seen) if x]
+        self.buckets = counts.shape[1]
+        p = counts[seen].astype(np.float64)
+        p /= p.sum(1, keepdims=True)
+        pooled = p.mean(0, keepdims=True) if len(p) else p
+        p = (1 - POOLED - UNIFORM) * p + POOLED * pooled + UNIFORM / self.buckets
+        self.p = np.ascontiguousarray(p.T).astype(np.float32)
 
     def mixture(self, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Proportions of the selected languages (zero for the others)."""
@@ -84,69 +105,74 @@ class LanguageModel:
             return np.ones(1), float(count @ np.log(p[:, 0]))
         pi = np.full(k, 1.0 / k) if start is None or start.sum() <= 0 else 0.9 * start / start.sum() + 0.1 / k
         total = count.sum()
-        for _ in range(EM_STEPS):
+        moved = 1.0
+        while moved >= CONVERGED:
             mixed = p @ pi
             new = pi * ((count / mixed) @ p) / total
             moved = np.abs(new - pi).max()
             pi = new
-            if moved < 1e-3:
-                break
         return pi, float(count @ np.log(p @ pi))
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """The model of labelled rows ``(text, lang)``; None if there are none.
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, label_rows: int = LABEL_ROWS) -> LanguageModel | None:
+    """The model of labelled rows ``(text, lang)``; None if no label can be learned.
 
-    About ``train_rows`` rows are used, drawn by a hash of the text. At most ``MAX_LANGUAGES``
-    labels are allowed.
+    About ``train_rows`` rows are used, as many of each label, but ``label_rows`` of each at least
+    or all that it has, drawn by a hash of the text. Rows with a null text or label are left out,
+    and labels without an n-gram are not learned. Rows that repeat are drawn together.
     """
     labelled = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    names = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
     if not names:
         return None
-    n = labelled.count()
-    if n > train_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
-    place = {x: i for i, x in enumerate(names)}
+    buckets = bucket_count(len(names))
+    wanted = max(label_rows, train_rows // len(names))
+    rates = [(x, i, int((1 << 30) * min(1.0, wanted / sizes[x]))) for i, x in enumerate(names)]
+    rated = labelled.join(F.broadcast(labelled.sparkSession.createDataFrame(rates, "lang string, place int, rate int")), "lang")
+    drawn = rated.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < F.col("rate")).select("text", "place")
 
     def count(batches):
-        total = np.zeros((len(names), BUCKETS), np.int64)
+        total = np.zeros((len(names), buckets), np.int32)
         for part in slices(batches):
-            bucket, doc = grams(*text_bytes(part.column("text")))
-            lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
-            total += np.bincount(lang[doc] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
+            bucket, doc = grams(*text_bytes(part.column("text")), buckets)
+            lang = part.column("place").to_numpy().astype(np.int64)
+            np.add.at(total.ravel(), lang[doc] * buckets + bucket, 1)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["at", "n"])
 
-    rows = labelled.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(names) * BUCKETS)
-    counts[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    return LanguageModel(names, counts.reshape(len(names), BUCKETS))
+    rows = drawn.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(names) * buckets)
+    counts[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    model = LanguageModel(names, counts.reshape(len(names), buckets))
+    return model if model.names else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``languages``, the proportions of the selected set.
 
-    Only ``text`` is read. A null text, one without a letter, or a missing model gives ``und``
-    with score 0 and no proportions. Clashing columns of ``docs`` are replaced.
+    Only ``text`` is read, whole, of any length. A null text, one without a letter, or a missing
+    model gives ``und`` with score 0 and no proportions. Of languages in equal proportions the first
+    by name is predicted. Repeated rows are judged one by one; an empty table gives an empty
+    result. Columns of ``docs`` that clash with the three are replaced, all others go through.
     """
     from pyspark.sql.types import StructType
 
     made = "lang_pred string, score double, languages map<string,double>"
-    docs = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "languages")])
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("lang_pred", "score", "languages")])
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(made).fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
+        buckets = model.buckets if model else BUCKETS
         for part in slices(batches):
-            texts = part.column("text")
+            texts = part.column(part.schema.get_field_index("text")).cast(pa.string())
             lettered = has_letter(texts.to_pylist())
-            bucket, doc = grams(*text_bytes(texts))
-            distinct, count = np.unique(doc * BUCKETS + bucket, return_counts=True)
-            first = np.searchsorted(distinct, np.arange(part.num_rows + 1) * BUCKETS)
+            bucket, doc = grams(*text_bytes(texts), buckets)
+            keys = doc * buckets + bucket
+            distinct, count = np.unique(keys.astype(np.int32) if part.num_rows * buckets < 1 << 31 else keys, return_counts=True)
+            first = np.searchsorted(distinct, np.arange(part.num_rows + 1) * buckets)
             pred, score, mixes = [], [], []
             for d in range(part.num_rows):
                 if model is None or not lettered[d]:
@@ -158,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 if first[d] == first[d + 1]:  # too short for an n-gram: no evidence
                     pi = np.full(len(model.names), 1.0 / len(model.names))
                 else:
-                    pi = model.mixture(distinct[at] % BUCKETS, count[at].astype(np.float64))
+                    pi = model.mixture(distinct[at] % buckets, count[at].astype(np.float64))
                 best = int(np.argmax(pi))
                 pred.append(model.names[best])
                 score.append(float(min(max(pi[best], 0.0), 1.0)))
@@ -168,7 +194,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 [*part.schema.names, "lang_pred", "score", "languages"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

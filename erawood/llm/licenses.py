@@ -1,21 +1,28 @@
 """License scans by diagonal voting.
 
-Every rolling three-word hash of every text is joined with the places where it stands in the
-license templates. A match votes for the diagonal "place in the text minus place in the
-template"; votes are counted by text, template and diagonal, neighbouring diagonals (small
-insertions or deletions) are merged, and a merged span is verified by how much of the template
-its matches cover. The template table is a constant of this module, so its broadcast is bounded.
+The rolling three-word hashes of every text are joined with the places where they stand in the
+license templates, which are whole texts and notices of licenses, parts of them and short
+statements. A match votes for the diagonal "place in the text minus place in the template"; votes
+are counted by text, template and diagonal, and neighbouring diagonals (small insertions or
+deletions) are merged. A merged span is verified by its longest chain of matches in the same order
+in both: so much of the template's words must the chain cover.
+
+One pass reads the texts; it drops the hashes that no template has, a constant set, before the join.
+The templates are a constant of the subpackage, so the broadcast of their places is bounded.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from erawood.llm.common import CHUNK_BYTES, slices, table, text_bytes
+from erawood.llm.common import CHUNK_BYTES, slices, stored, table, text_bytes
+from erawood.llm.license_texts import TEMPLATES
 from erawood.llm.words import MULTIPLIERS, hash_spans, rolling, spans
 
 K = 3
@@ -24,22 +31,6 @@ NEIGHBOUR = 3
 #: Part of a template's words that a span must cover.
 COVERAGE = 0.75
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("reserved", "all rights reserved"),
-]
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,25 +45,30 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hash_spans(low, starts, ends), doc, np.searchsorted(doc, np.arange(len(column) + 1))
 
 
-def template_grams(templates=TEMPLATES) -> list[tuple[int, int, int]]:
-    """(hash, template, place) of each rolling k-gram of the templates."""
-    out = []
+def template_grams(templates=TEMPLATES) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """(hash, template, place) of each rolling k-gram of the templates, and their lengths in words."""
+    out, lengths = [], []
     for i, (_, text) in enumerate(templates):
         h, _, _ = _hashed(pa.array([text]))
         if len(h) < K:
             raise ValueError(f"a template needs {K} words: {text}")
+        lengths.append(len(h))
         out += [(int(x), i, place) for place, x in enumerate(rolling(h, K, MULTIPLIERS[0]).view(np.int64))]
-    return out
+    return out, lengths
 
 
-_BASE = "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base_labels string"
+_SCAN = "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base_labels string, at array<int>, grams array<long>"
 
 
-def base_scan(docs: DataFrame) -> DataFrame:
-    """Word count and the exact places of the base phrases, a row for each row of ``docs``."""
+def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """A row for each of ``docs``: word count, places of the base phrases, and the places and hashes of
+    the k-grams that a template has."""
     phrases = [(label, _hashed(pa.array([text]))[0]) for text, label in PHRASES.items()]
+    wanted = np.unique(np.array([g for g, _, _ in template_grams(templates)[0]], np.int64).view(np.uint64))
 
     def run(batches):
+        low_bits = np.zeros(1 << 16, bool)
+        low_bits[(wanted & np.uint64(0xFFFF)).astype(np.int64)] = True
         for part in slices(batches, "text", CHUNK_BYTES):
             h, doc, first = _hashed(part.column("text"))
             n = part.num_rows
@@ -92,41 +88,53 @@ def base_scan(docs: DataFrame) -> DataFrame:
                 np.maximum.at(high, doc[at], place)
                 for d in np.unique(doc[at]).tolist():
                     labels[d].append(label)
+            r = rolling(h, K, MULTIPLIERS[0])
+            at = np.flatnonzero(low_bits[(r & np.uint64(0xFFFF)).astype(np.int64)])
+            at = at[doc[at] == doc[at + K - 1]] if len(at) else at
+            at = at[np.isin(r[at], wanted)]
+            bounds = pa.array(np.searchsorted(doc[at], np.arange(n + 1)).astype(np.int32))
             none = count == 0
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array(np.diff(first)), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([",".join(sorted(set(x))) for x in labels])],
-                [x.split()[0] for x in _BASE.split(", ")],
-            )
+            columns = [
+                part.column("doc_id"), part.column("key"), pa.array(np.diff(first)), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([",".join(sorted(set(x))) for x in labels]),
+                pa.ListArray.from_arrays(bounds, pa.array((at - first[doc[at]]).astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(r[at].view(np.int64))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCAN.split(", ")])
+
+    return docs.mapInArrow(run, _SCAN)
+
+
+def chain(at: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which matches form the longest chain that ascends in the text and in the template."""
+    order = np.lexsort((-place, at))
+    ends: list[int] = []
+    last: list[int] = []
+    before = np.full(len(order), -1)
+    for i in order.tolist():
+        k = bisect_left(ends, place[i])
+        before[i] = last[k - 1] if k else -1
+        ends[k : k + 1] = [place[i]]
+        last[k : k + 1] = [i]
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], np.int64)
 
-    return docs.mapInArrow(run, _BASE)
 
+_SPAN = "doc_id long, key long, template int, start long, end long, votes long, coverage double"
 
-def rolling_grams(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, key, grams)``: the hash of the k-gram at each word."""
 
-    def run(batches):
-        for part in slices(batches, "text", CHUNK_BYTES):
-            h, doc, first = _hashed(part.column("text"))
-            r = rolling(h, K, MULTIPLIERS[0]).view(np.int64)
-            ok = np.flatnonzero(doc[: len(r)] == doc[K - 1 :]) if len(r) else np.zeros(0, np.int64)
-            bounds = np.searchsorted(doc[ok], np.arange(part.num_rows + 1)).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(bounds), pa.array(r[ok]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), grams], ["doc_id", "key", "grams"])
-
-    return docs.mapInArrow(run, "doc_id long, key long, grams array<long>")
-
-
-def template_spans(docs: DataFrame) -> DataFrame:
+def template_spans(scanned: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Verified spans: rows ``(doc_id, key, template, start, end, votes, coverage)``, places in words."""
-    spark = docs.sparkSession
-    templates = spark.createDataFrame(template_grams(), "gram long, template int, place int")
-    lengths = spark.createDataFrame([(i, len(text.split())) for i, (_, text) in enumerate(TEMPLATES)], "template int, length int")
+    spark = scanned.sparkSession
+    grams, lengths = template_grams(templates)
+    of_gram = spark.createDataFrame(grams, "gram long, template int, place int")
+    found = scanned.where(F.size("at") > 0).select("doc_id", "key", F.explode(F.arrays_zip("at", "grams")).alias("x")).select("doc_id", "key", F.col("x.at").alias("at"), F.col("x.grams").alias("gram"))
     votes = (
-        rolling_grams(docs)
-        .select("doc_id", "key", F.posexplode("grams").alias("at", "gram"))
-        .join(F.broadcast(templates), "gram")
+        found.join(F.broadcast(of_gram), "gram")
         .groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.collect_set("place").alias("places"), F.min("at").alias("start"), (F.max("at") + K).alias("end"))
+        .agg(F.count("*").alias("votes"), F.collect_set("place").alias("places"))
     )
     order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR, F.lit(True))
@@ -134,31 +142,43 @@ def template_spans(docs: DataFrame) -> DataFrame:
         votes.withColumn("fresh", fresh.cast("int"))
         .withColumn("island", F.sum("fresh").over(order))
         .groupBy("doc_id", "key", "template", "island")
-        .agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("places")).alias("places"), F.min("start").alias("start"), F.max("end").alias("end"))
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
-    return (
-        merged.join(F.broadcast(lengths), "template")
-        .withColumn("coverage", covered / F.col("length"))
-        .where(F.col("coverage") >= COVERAGE)
-        .select("doc_id", "key", "template", "start", "end", "votes", "coverage")
+        .agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list(F.transform("places", lambda p: F.struct((p + F.col("diagonal")).alias("at"), p.alias("place"))))).alias("hits"))
     )
 
+    def verify(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, key, template, votes, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "template", "votes")), batch.column("hits")):
+                at, place = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in hits.values.flatten())
+                some = chain(at, place)
+                covered = np.unique(place[some][:, None] + np.arange(K)).size / lengths[template]
+                if covered >= COVERAGE:
+                    rows.append((doc_id, key, template, int(at[some].min()), int(at[some].max()) + K, votes, covered))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _SPAN.split(", ")])
+
+    # a chain has no more grams than the span has places
+    length = F.element_at(F.array(*[F.lit(n) for n in lengths]), F.col("template") + 1)
+    enough = K * F.size("hits") >= COVERAGE * length
+    return merged.where(enough).select("doc_id", "key", "template", "votes", "hits").mapInArrow(verify, _SPAN)
+
 
 def licenses(docs: DataFrame) -> DataFrame:
     """Word count, base places, labels and score of each row of ``docs``.
 
     ``labels`` has the base labels and those of verified template spans; ``score`` is 1 if there
     is a base label, else the best coverage of a verified span, else 0. Null and blank texts have
-    no word and no label; rows that repeat get a row each, also with a null doc_id; an empty
-    table gives an empty result.
+    no word and no label; texts are scanned whole, of any length; rows that repeat get a row each,
+    also with a null doc_id; other columns are not read; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    scanned = stored(scan(docs), "licenses")
     label = F.element_at(F.array(*[F.lit(x) for x, _ in TEMPLATES]), F.col("template") + 1)
-    found = template_spans(docs).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set(label).alias("found"), F.max("coverage").alias("best"))
-    base = base_scan(docs)
+    found = template_spans(scanned).groupBy(F.col("doc_id").alias("id"), F.col("key").alias("of")).agg(F.collect_set(label).alias("found"), F.max("coverage").alias("best"))
     both = F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), F.coalesce("found", F.array().cast("array<string>")))
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select(
+    return scanned.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")), "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
         F.array_join(F.array_sort(both), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),

@@ -6,39 +6,57 @@ in their document. The index has the non-overlapping reference blocks, and every
 anchors; an anchor is extended by up to 25 words on either side, that is to each 50-word window
 around it, and runs of windows that prove equal across anchors are the maximal repeats.
 
-1. *Probe.* Word hashes are rolled into 25-word hashes, dealt into buckets, four bytes of hash
+1. *Frequent windows.* A sample of bounded size names windows that many documents share. Their
+   least and greatest documents are taken over all documents, with partial aggregation, and every
+   task then decides them itself. So a passage in a third of all documents fills no bucket.
+2. *Probe.* Word hashes are rolled into 25-word hashes, dealt into buckets, four bytes of hash
    and the place each, packed by document. A bucket looks its probes up among its reference
    blocks. Four bytes inside a bucket only thin the candidates; nothing is decided here.
-2. *Extend.* Documents with anchors hash their 50-word windows around these (64 bits and the
+3. *Extend.* Documents with anchors hash their 50-word windows around these (64 bits and the
    bucket's, from independent multipliers). Equal windows meet; all but those of the smallest
    document are repeats.
-3. *Remove.* The words that repeats cover go.
+4. *Remove.* The words that repeats cover go.
 
-No pair of documents is ever made, so a passage in thousands of documents costs as much as its
-words. Buckets are as many as the text needs, at ``BUCKET_BYTES`` of text each.
+No pair of documents is ever made. Texts are shuffled only where a filter of fixed size says that
+their document may have an anchor (3) or a repeat (4). Which windows the sample names changes where
+they are decided, never what is decided.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from erawood.llm.common import CHUNK_BYTES, shuffle_width, slices, stored, table, text_bytes
+from erawood.llm.common import CHUNK_BYTES, discard, free_names, mapped, members, quoted, scratch_path, shuffle_width, slices, stored_at, table, text_bytes
 from erawood.llm.words import MULTIPLIERS, NOT_SPACE, byte_planes, from_planes, hash_spans, rolling, spans
 
 WINDOW = 50
-#: Bytes of text whose windows meet in one bucket, about.
+#: Bytes of text whose windows meet in one bucket, about; buckets grow to four times that in tables
+#: of more than so many of them.
 BUCKET_BYTES = 16 << 20
+BUCKETS = 1 << 14
+#: Bytes of text in which frequent windows are sought, how many documents of it must share one, and
+#: how many are decided apart, the most frequent first; the others go through the buckets.
+SAMPLE_BYTES = 32 << 20
+LEAST_SHARED = 5
+MOST_FREQUENT = 1 << 16
 _LOW_BITS = 22
+_NONE, _NEVER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
-def bucket_count(docs: DataFrame) -> int:
+def layout(docs: DataFrame) -> tuple[int, int, int]:
+    """Bytes of all texts, the number of buckets, and the bytes of text that a task packs at a time."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(shuffle_width(docs.sparkSession), -(-total // BUCKET_BYTES))
+    size = min(max(total // BUCKETS, BUCKET_BYTES), 4 * BUCKET_BYTES)
+    buckets = max(shuffle_width(docs.sparkSession), -(-total // size))
+    return total, buckets, min(max(48 * buckets, CHUNK_BYTES), 4 * CHUNK_BYTES)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,17 +160,125 @@ def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hash_spans(data, starts, ends), doc, first, np.arange(len(doc)) - first[doc]
 
 
-def anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Rows ``(doc_id, places)``: the starts of probes and blocks that met, packed uint32."""
+@dataclass
+class Frequent:
+    """Hashes of frequent windows, sorted, and what all documents say of each.
+
+    ``owner`` is the least document that has it as a reference block, ``least`` and ``last`` are
+    the least and the greatest that have it at all.
+    """
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    owner: np.ndarray | None = None
+    least: np.ndarray | None = None
+    last: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.low = np.zeros(1 << 16, bool)
+        self.low[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are frequent, and their places in ``hashes``."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.low[(h >> np.uint64(48)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[place] == h[at]
+        return at[same], place[same]
+
+
+def _windows(h: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the window at each word, and the words where a whole one begins."""
+    r = rolling(h, width, MULTIPLIERS[0])
+    return r, np.flatnonzero(doc[: len(r)] == doc[width - 1 :]) if len(r) else np.zeros(0, np.int64)
+
+
+def _mixed(r: np.ndarray) -> np.ndarray:
+    return r * np.uint64(0x9E3779B97F4A7C15)
+
+
+def frequent_windows(docs: DataFrame, widths: tuple[int, int], total: int) -> list[Frequent]:
+    """For each width, what all documents say of the windows that many sampled documents share."""
+    share = 1.0 if total <= SAMPLE_BYTES else SAMPLE_BYTES / total
+
+    def seek(batches):
+        held, base = [[] for _ in widths], 0
+        for part in slices(batches, "text", CHUNK_BYTES):
+            h, doc, _, _ = _words(part)
+            for out, width in zip(held, widths):
+                r, at = _windows(h, doc, width)
+                out.append((_mixed(r[at]), doc[at] + base))
+            base += part.num_rows
+        for kind, found in enumerate(held):
+            if not found:
+                continue
+            r, doc = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(r, kind="stable")  # documents ascend among equal hashes
+            r, doc = r[order], doc[order]
+            if not len(r):
+                continue
+            heads, _ = _groups(r)
+            first = np.ones(len(r), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (r[1:] != r[:-1])
+            n = np.add.reduceat(first.astype(np.int64), heads)
+            top = np.flatnonzero(n >= LEAST_SHARED)
+            top = top[np.argsort(-n[top], kind="stable")[:MOST_FREQUENT]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), kind), pa.int32()), pa.array(r[heads[top]].view(np.int64))], ["kind", "hash"])
+
+    # the sample has a bounded size, so one task may sort its windows
+    sample = docs.select("text") if share == 1.0 else docs.select("text").sample(fraction=share, seed=1)
+    rows = sample.repartition(1).mapInArrow(seek, "kind int, hash long").toArrow()
+    kinds, hashes = rows.column("kind").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+    found = [Frequent(np.sort(hashes[kinds == k])) for k in range(len(widths))]
+    if not len(hashes):
+        return found
+
+    def gather(batches):
+        held = [[np.full(len(f.hashes), x) for x in (_NONE, _NONE, _NEVER)] for f in found]
+        for part in slices(batches, "text", CHUNK_BYTES):
+            h, doc, _, place = _words(part)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            for f, width, (owner, least, last) in zip(found, widths, held):
+                r, at = _windows(h, doc, width)
+                hit, which = f.find(_mixed(r[at]))
+                own = ids[doc[at[hit]]]
+                block = place[at[hit]] % width == 0
+                np.minimum.at(owner, which[block], own[block])
+                np.minimum.at(least, which, own)
+                np.maximum.at(last, which, own)
+        for kind, (owner, least, last) in enumerate(held):
+            at = np.flatnonzero(least != _NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind), pa.int32()), pa.array(at, pa.int32()), *(pa.array(x[at]) for x in (owner, least, last))], ["kind", "i", "owner", "least", "last"])
+
+    said = docs.select("doc_id", "text").mapInArrow(gather, "kind int, i int, owner long, least long, last long")
+    all_of = said.groupBy("kind", "i").agg(F.min("owner").alias("owner"), F.min("least").alias("least"), F.max("last").alias("last")).toArrow()
+    kinds, at = all_of.column("kind").to_numpy(), all_of.column("i").to_numpy()
+    for k, f in enumerate(found):
+        for name, empty in (("owner", _NONE), ("least", _NONE), ("last", _NEVER)):
+            values = np.full(len(f.hashes), empty)
+            values[at[kinds == k]] = all_of.column(name).to_numpy()[kinds == k]
+            setattr(f, name, values)
+    return found
+
+
+def _hits(doc: np.ndarray, block: np.ndarray, owner: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which windows meet a reference block of a smaller document, or are one that a greater one meets."""
+    return (doc > owner) | (block & (doc < last))
+
+
+def anchors(docs: DataFrame, window: int, buckets: int, chunk: int, blocks) -> DataFrame:
+    """Anchors by the documents that hold them, packed for ``_at_home``; ``blocks`` are frequent and left out."""
     half = window // 2
 
     def probes(batches):
-        for part in slices(batches, "text", CHUNK_BYTES):
+        for part in slices(batches, "text", chunk):
             h, doc, _, place = _words(part)
-            r = rolling(h, half, MULTIPLIERS[0])
-            at = np.flatnonzero(doc[: len(r)] == doc[half - 1 :]) if len(r) else np.zeros(0, np.int64)
-            r = r[at] * np.uint64(0x9E3779B97F4A7C15)
-            yield from _packed(_bucket(r, buckets), doc[at], place[at], (r >> np.uint64(8)).astype(np.uint32), [part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)])
+            r, at = _windows(h, doc, half)
+            r = _mixed(r[at])
+            cold = np.ones(len(r), bool)
+            cold[blocks.value.find(r)[0]] = False
+            r, at = r[cold], at[cold]
+            yield from _packed(_bucket(r, buckets), doc[at], place[at], (r >> np.uint64(8)).astype(np.uint32), [part.column("doc_id").to_numpy(zero_copy_only=False)])
 
     def meet(t: pa.Table) -> pa.Table:
         (doc,), place, value = _unpacked(t.column("blob"), 1, np.uint32)
@@ -166,47 +292,93 @@ def anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         if not len(at):
             return _sent_home([doc], place, buckets)
         heads, size = _groups(value)
-        owner = np.repeat(np.minimum.reduceat(np.where(block, doc, np.iinfo(np.int64).max), heads), size)
+        owner = np.repeat(np.minimum.reduceat(np.where(block, doc, _NONE), heads), size)
         last = np.repeat(np.maximum.reduceat(doc, heads), size)
-        hit = (doc > owner) | (block & (doc < last))
+        hit = _hits(doc, block, owner, last)
         return _sent_home([doc[hit]], place[hit], buckets)
 
-    packed = docs.select("doc_id", "text").mapInArrow(probes, _BLOBS)
-    return _at_home(packed.groupBy("bucket").applyInArrow(meet, _BLOBS), ["doc_id"])
+    return docs.select("doc_id", "text").mapInArrow(probes, _BLOBS).groupBy("bucket").applyInArrow(meet, _BLOBS)
+
+
+def _ids_of(packed: DataFrame) -> DataFrame:
+    """The first id of each document of packed places."""
+
+    def ids(batches):
+        for batch in batches:
+            for cell in batch.column("blob"):
+                blob = memoryview(cell.as_buffer())
+                n = int(np.frombuffer(blob[:4], np.uint32)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(from_planes(blob[8:], np.int64, n))], ["id"])
 
+    return packed.mapInArrow(ids, "id long")
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows ``(doc_id, text_hash, places)``: starts of the windows that a smaller document has too.
 
-    ``text_hash`` tells apart rows that repeat a
-    doc_id with another text; such rows never remove each other's words. Rows with a null doc_id
-    take no part.
+def _meet_places(docs: DataFrame, packed: DataFrame, names: list[str], keys: list, columns: list[str], places: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts with ``places``: those that may have some, joined with them, and the rest.
+
+    Only the first part is shuffled. ``keys`` are the columns of ``docs`` that ``names`` stand for.
+    """
+    maybe = members(_ids_of(packed))(keys[0])
+    renamed = free_names(docs.columns, *names, "places")
+    home = _at_home(packed, names).toDF(*renamed).hint("merge")
+    match = keys[0] == F.col(renamed[0])
+    for key, name in zip(keys[1:], renamed[1:]):
+        match = match & (key == F.col(name))
+    touched = docs.where(maybe).join(home, match, "left").select(*map(quoted, columns), F.col(renamed[-1]).alias(places))
+    return touched, docs.where(~maybe).select(*map(quoted, columns), F.lit(None).cast("binary").alias(places))
+
+
+def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+    """Starts of the windows that a smaller document has too, packed and stored at ``path``.
+
+    They are kept by doc_id and a hash of the text, which tells apart rows that repeat a doc_id
+    with another text; such rows never remove each other's words. Rows with a null doc_id take no
+    part.
     """
-    half, buckets = window // 2, bucket_count(docs)
+    half = window // 2
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(anchors(docs, window, buckets), "anchors")
-    with_anchors = docs.join(found, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "places")
+    total, buckets, chunk = layout(docs)
+    spark = docs.sparkSession
+    blocks, windows = (spark.sparkContext.broadcast(f) for f in frequent_windows(docs, (half, window), total))
+    found_path = scratch_path(spark, "anchors")
+    found = stored_at(anchors(docs, window, buckets, chunk, blocks), found_path)
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    touched, rest = _meet_places(docs, found, ["doc_id"], [F.col("doc_id")], ["doc_id", "text_hash", "text"], "places")
 
     def extend(batches):
-        for part in slices(batches, "text", CHUNK_BYTES):
+        for part in slices(batches, "text", chunk):
             h, doc, first, place = _words(part)
-            r = rolling(h, window, MULTIPLIERS[0])
-            if not len(r):
+            r, at = _windows(h, doc, window)
+            if not len(at):
                 continue
+            ids = [part.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "text_hash")]
             near = np.zeros(len(h) + 1, np.int64)
+            anchored = np.zeros(len(h), bool)
             places = part.column("places")
-            for d in range(part.num_rows):
-                a = np.frombuffer(places[d].as_buffer(), np.uint32).astype(np.int64)
-                n = first[d + 1] - first[d]
-                a = a[a < n]
-                np.add.at(near, first[d] + np.maximum(a - half, 0), 1)
-                np.add.at(near, first[d] + a + 1, -1)
-            at = np.flatnonzero((np.cumsum(near)[: len(r)] > 0) & (doc[: len(r)] == doc[window - 1 :]))
+            for d in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)):
+                a = np.frombuffer(places[int(d)].as_buffer(), np.uint32).astype(np.int64)
+                anchored[first[d] + a[a < first[d + 1] - first[d]]] = True
+            if len(blocks.value.hashes):
+                s, begin = _windows(h, doc, half)
+                hit, which = blocks.value.find(_mixed(s[begin]))
+                hit = begin[hit]
+                anchored[hit[_hits(ids[0][doc[hit]], place[hit] % half == 0, blocks.value.owner[which], blocks.value.last[which])]] = True
+            a = np.flatnonzero(anchored)
+            np.add.at(near, np.maximum(a - half, first[doc[a]]), 1)
+            np.add.at(near, a + 1, -1)
+            at = at[np.cumsum(near)[at] > 0]
+            hit, which = windows.value.find(_mixed(r[at]))
+            again = at[hit[ids[0][doc[at[hit]]] > windows.value.least[which]]] if len(hit) else hit
+            yield from _kept_home([x[doc[again]] for x in ids], place[again], buckets)
+            cold = np.ones(len(at), bool)
+            cold[hit] = False
+            at = at[cold]
             other = rolling(h, window, MULTIPLIERS[1])[at] * np.uint64(0xC2B2AE3D27D4EB4F)
-            ids = [part.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "text_hash")]
             yield from _packed(_bucket(other, buckets), doc[at], place[at], r[at], ids)
 
     def compare(t: pa.Table) -> pa.Table:
+        if t.column("bucket")[0].as_py() < 0:  # decided already
+            return t.set_column(0, "bucket", pc.subtract(-1, t.column("bucket")).cast(pa.int32()))
         (doc, text), place, value = _unpacked(t.column("blob"), 2, np.uint64)
         at = np.argsort(value, kind="stable")
         heads, size = _groups(value[at])
@@ -214,8 +386,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         at = at[doc[at] > least]
         return _sent_home([doc[at], text[at]], place[at], buckets)
 
-    packed = with_anchors.mapInArrow(extend, _BLOBS)
-    return _at_home(packed.groupBy("bucket").applyInArrow(compare, _BLOBS), ["doc_id", "text_hash"])
+    searched = touched.unionByName(rest) if len(blocks.value.hashes) else touched
+    out = stored_at(searched.mapInArrow(extend, _BLOBS).groupBy("bucket").applyInArrow(compare, _BLOBS), path)
+    discard(spark, found_path)
+    return out
+
+
+def _kept_home(ids: list[np.ndarray], place: np.ndarray, buckets: int):
+    """Places that are decided, for their documents' buckets; these have negative numbers on the way."""
+    for batch in _sent_home(ids, place, buckets).to_batches():
+        yield batch.set_column(0, "bucket", pc.subtract(-1, batch.column("bucket")).cast(pa.int32()))
 
 
 def _covered(places: pa.Scalar, n: int, window: int) -> np.ndarray:
@@ -227,99 +407,105 @@ def _covered(places: pa.Scalar, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _with_places(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
+    """``docs`` in two parts, with and without repeats perhaps, and the name of the column of their places."""
+    found = repeats(docs, scratch_path(docs.sparkSession, "repeats"), window)
+    (places,) = free_names(docs.columns, "places")
+    keys = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    return *_meet_places(docs, found, ["doc_id", "text_hash"], keys, docs.columns, places), places
+
+
+def _texts(part: pa.RecordBatch, places: str, window: int):
+    """Words of each text, and which of them go; None if none does."""
+    texts = part.column(part.schema.get_field_index("text")).cast(pa.string()).fill_null("").cast(pa.binary())
+    held = part.column(part.schema.get_field_index(places))
+    for d in range(part.num_rows):
+        w = texts[d].as_py().split()
+        gone = _covered(held[d], len(w), window) if held[d].is_valid else None
+        yield w, gone if gone is not None and gone.any() else None
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_removed, spans (array of {start, end} in words, end exclusive) and kept_text.
 
     ``kept_text`` is the kept words joined by one space. Null and blank texts have no word and an
-    empty kept_text; rows with a null doc_id keep all their words; an empty table gives an empty
-    result. Columns of ``docs`` that clash with these four are replaced.
+    empty kept_text; rows with a null doc_id keep all their words; rows that repeat a doc_id and
+    text are each judged, and never by each other; texts are read whole, of any length; an empty
+    table gives an empty result. Columns of ``docs`` that clash with these four are replaced, all
+    others go through, whatever their names.
     """
-    made = ("n_words", "n_removed", "spans", "kept_text")
-    docs = docs.select(*[c for c in docs.columns if c not in made])
-    found = stored(repeats(docs, window), "repeats")
-    gathered = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("places").alias("__places"))
-    joined = docs.join(gathered, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left").drop("__id", "__th")
-    schema = docs.schema
-    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("spans", "array<struct<start:long,end:long>>"), ("kept_text", "string")):
-        schema = type(schema)([*schema.fields, _field(name, kind)])
+    made = StructType.fromDDL("n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in made.fieldNames()])
+    touched, rest, places = _with_places(docs, window)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches):
         for part in slices(batches, "text", CHUNK_BYTES):
-            texts = part.column("text").fill_null("").cast(pa.binary())
-            places = part.column("__places")
             n_words, n_removed, runs, kept = [], [], [], []
-            for d in range(part.num_rows):
-                w = texts[d].as_py().split()
+            for w, gone in _texts(part, places, window):
                 n_words.append(len(w))
-                if not places[d].is_valid:
-                    n_removed.append(0)
-                    runs.append([])
-                    kept.append(b" ".join(w))
-                    continue
-                gone = _covered(places[d], len(w), window)
-                n_removed.append(int(gone.sum()))
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                runs.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
-                kept.append(b" ".join([w[i] for i in np.flatnonzero(~gone)]))
-            own = [part.column(c) for c in part.schema.names if c != "__places"]
-            yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                [*[c for c in part.schema.names if c != "__places"], *made],
-            )
-
-    return joined.mapInArrow(remove, schema)
-
+                n_removed.append(0 if gone is None else int(gone.sum()))
+                edge = [] if gone is None else np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
+                runs.append([{"start": int(a), "end": int(b)} for a, b in edge])
+                kept.append(b" ".join(w if gone is None else [w[i] for i in np.flatnonzero(~gone)]))
+            own = [(c, x) for c, x in zip(part.schema.names, part.columns) if c != places]
+            columns = [*(x for _, x in own), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*(c for c, _ in own), *made.fieldNames()])
 
-def _field(name: str, kind: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(f"{name} {kind}").fields[0]
+    return mapped(touched.unionByName(rest), remove, StructType([*docs.schema.fields, *made.fields]))
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """As ``without_repeats``, but with the SHA-256 of the kept text in place of texts and spans."""
-    found = stored(repeats(docs, window), "repeats")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    joined = keyed.join(found, ["doc_id", "text_hash"], "left").select("doc_id", "text", "places")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    touched, rest, places = _with_places(keyed, window)
 
     def remove(batches):
         for part in slices(batches, "text", CHUNK_BYTES):
-            texts = part.column("text").fill_null("").cast(pa.binary())
-            places = part.column("places")
             n_words, n_removed, digest = [], [], []
-            for d in range(part.num_rows):
-                w = texts[d].as_py().split()
+            for w, gone in _texts(part, places, window):
                 n_words.append(len(w))
-                if places[d].is_valid:
-                    gone = _covered(places[d], len(w), window)
-                    n_removed.append(int(gone.sum()))
-                    w = [w[i] for i in np.flatnonzero(~gone)]
-                else:
-                    n_removed.append(0)
-                digest.append(hashlib.sha256(b" ".join(w)).hexdigest())
+                n_removed.append(0 if gone is None else int(gone.sum()))
+                digest.append(hashlib.sha256(b" ".join(w if gone is None else [w[i] for i in np.flatnonzero(~gone)])).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return touched.unionByName(rest).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; texts without one stay as they are.
 
     ``n_chars`` follows, if there is one. Documents that consist of repeated passages alone go.
+    Null and blank texts, null ids, repeated rows, long texts, empty tables and other columns: as
+    in ``without_repeats``, but that nothing is added.
     """
-    out = without_repeats(docs.select(*docs.columns), window).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    touched, rest, places = _with_places(docs, window)
+    names = touched.columns
+    cut, gone_name = free_names(names, "cut_text", "gone")
+
+    def remove(batches):
+        for part in slices(batches, "text", CHUNK_BYTES):
+            kept, none_left = [], []
+            for w, gone in _texts(part, places, window):
+                kept.append(None if gone is None else b" ".join([w[i] for i in np.flatnonzero(~gone)]))
+                none_left.append(gone is not None and bool(gone.all()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(none_left)], [*part.schema.names, cut, gone_name])
+
+    schema = StructType([*touched.schema.fields, *StructType.fromDDL(f"`{cut}` string, `{gone_name}` boolean").fields])
+    out = mapped(touched, remove, schema).where(~F.col(gone_name))
+    new = F.col(cut)
     columns = []
     for c in docs.columns:
+        kind = docs.schema[c].dataType
         if c == "text":
-            columns.append(text.alias("text"))
+            columns.append(F.coalesce(new.cast(kind), quoted(c)).alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.coalesce(F.length(new).cast(kind), quoted(c)).alias(c))
         else:
-            columns.append(F.col(c))
-    return out.select(*columns)
+            columns.append(quoted(c))
+    return out.select(*columns).unionByName(rest.select(*map(quoted, docs.columns)))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """URL filter: rules first, then path templates learned for each host.
 
-A host's paths form a tree. A segment of a path becomes a wildcard if it looks variable (digits,
+A host's paths form a tree of any depth. A segment of a path becomes a wildcard if it looks variable (digits,
 hex strings, long mixed strings) or if it has few labelled pages and its parent many children; siblings
 whose labelled rates don't differ statistically (two-proportion test, one-sided smoothed counts)
-share a branch. A template, host plus generalised segments, is rejected if its smoothed purity,
+share a branch. Below a node with fewer labelled pages than a rejection needs, branches stay as
+they are, as none of them can be rejected. A template, host plus generalised segments, is rejected if its smoothed purity,
 (bad + PRIOR * rate) / (labelled + PRIOR) with the rate of all labelled pages, reaches the
 threshold and the smallest count of labelled pages. Pages without a template verdict pass.
 
@@ -33,7 +34,6 @@ PURITY = 0.9
 LEAST_LABELLED = 10
 #: Standard errors by which sibling branches must differ to stay apart.
 Z = 1.64
-DEPTH = 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,13 +61,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The first ``DEPTH`` segments, clearly variable ones as wildcards that keep their ending."""
+    """All segments, clearly variable ones as wildcards that keep their ending."""
 
     def general(s: Column) -> Column:
         s = F.regexp_replace(s, r"^[0-9]+", "*")
         return F.when(s.rlike(r"^[0-9a-fA-F-]{8,}$") | (F.length(s) > 32), F.lit("*")).otherwise(s)
 
-    return F.transform(F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, DEPTH), general)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
 def _rate(bad: Column, n: Column, prior: Column) -> Column:
@@ -75,27 +75,33 @@ def _rate(bad: Column, n: Column, prior: Column) -> Column:
 
 
 def learned(pages: DataFrame) -> DataFrame:
-    """``(host, segs, purity, labelled)`` for each distinct generalised path of each host."""
-    paths = pages.groupBy("host", "segs").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad")).withColumn("depth", F.size("segs"))
+    """``(host, segs, template, purity, labelled)`` for each distinct generalised path of each host.
+
+    Level by level, down to where no node has labelled pages enough for a rejection.
+    """
+    paths = pages.groupBy("host", "segs").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
     current = cut(paths.withColumn("template", F.col("segs")))
-    bad, n, depth = current.agg(F.sum("bad"), F.sum("n"), F.max("depth")).first()
+    bad, n = current.agg(F.sum("bad"), F.sum("n")).first()
     prior = F.lit(float(bad or 0) / max(n or 0, 1))
-    for level in range(depth or 0):
-        at = F.lit(level)
-        has = F.size("template") > at
-        parent = F.slice("template", 1, level)
-        here = current.where(has).select("host", parent.alias("parent"), F.get("template", at).alias("child"), "n", "bad")
+    level = 0
+    while True:
+        at, parent = F.lit(level), F.slice("template", 1, level)
+        here = current.where(F.size("template") > at).select("host", parent.alias("parent"), F.get("template", at).alias("child"), "n", "bad")
         child = here.groupBy("host", "parent", "child").agg(F.sum("n").alias("cn"), F.sum("bad").alias("cbad"))
-        group = child.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("cn").alias("pn"), F.sum("cbad").alias("pbad"))
+        group = child.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("cn").alias("pn"), F.sum("cbad").alias("pbad")).where(F.col("pn") >= LEAST_LABELLED)
+        group = cut(group)
+        if group.isEmpty():
+            break
         both = child.join(group, ["host", "parent"])
         rest_n, rest_bad = F.col("pn") - F.col("cn"), F.col("pbad") - F.col("cbad")
         p1, p2 = _rate(F.col("cbad"), F.col("cn"), prior), _rate(rest_bad, rest_n, prior)
         error = F.sqrt(p1 * (1 - p1) / (F.col("cn") + PRIOR) + p2 * (1 - p2) / (rest_n + PRIOR))
         alike = F.abs(p1 - p2) <= Z * error
-        merge = both.select("host", "parent", "child", ((F.col("many") > 1) & (alike | ((F.col("many") > MANY) & (F.col("cn") < LEAST_LABELLED)))).alias("merge"))
+        merge = both.where((F.col("many") > 1) & (alike | ((F.col("many") > MANY) & (F.col("cn") < LEAST_LABELLED)))).select("host", "parent", "child", F.lit(True).alias("merge"))
         joined = current.withColumn("parent", parent).withColumn("child", F.get("template", at)).join(merge, ["host", "parent", "child"], "left")
         renamed = F.transform("template", lambda s, i: F.when((i == at) & F.coalesce(F.col("merge"), F.lit(False)), F.lit("*")).otherwise(s))
-        current = cut(joined.select("host", "segs", "n", "bad", "depth", renamed.alias("template")))
+        current = cut(joined.select("host", "segs", "n", "bad", renamed.alias("template")))
+        level += 1
     sums = current.groupBy("host", "template").agg(F.sum("n").alias("labelled"), F.sum("bad").alias("tbad"))
     purity = sums.select("host", "template", "labelled", _rate(F.col("tbad"), F.col("labelled"), prior).alias("purity"))
     return current.select("host", "segs", "template").join(purity, ["host", "template"])
@@ -106,7 +112,9 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
 
     ``labels`` ``(page_id, bad)`` are the labelled pages; without it the pages that a rule decides
     are (block: bad). Null urls and urls without ``://`` have an empty host and path, no rule and
-    pass; repeated rows are judged each; an empty table gives an empty result.
+    pass; urls are read whole, of any length; repeated rows are judged each, and count each; of
+    equally long rules the first listed wins; other columns are not read; an empty table gives an
+    empty result.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from erawood.llm import bpe, components, decontamination, langid, licenses, packing, quality, simhash, substring, urls, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, fp string, bucket int, key int, shard int, spans int, score int"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept boolean, fp string, bucket int, key int, part int, spans int, score int, "
+    "places int, cut_text int, gone int, text_hash int, judged int, failed_rule int, ids int, at int, prefix_tokens int, `a.b` int, __t string, __w int, component_id int"
+)
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -32,7 +35,7 @@ def corpus():
         (12, "same line here\n" * 40), (13, "## $$ %% " * 40), (14, prose(6, 5000)), (15, "Ünïcode wörds " * 3 + "日本語 テキスト 😀"), (4, prose(3, 60) + " " + shared + " " + prose(4, 60)),
         (16, shared), (17, "x" * 5000), (None, base), (None, None), (18, "licensed under the Apache License, version 2.0 and the GNU general public license"),
     ]
-    return [(i, t, "en" if (i or 0) % 2 else None, "s", None if t is None else len(t), 7, True, "f", 1, 2, 3, 4, 5) for i, t in texts]
+    return [(i, t, "en" if (i or 0) % 2 else None, "s", None if t is None else len(t), 7, True, "f", *range(1, 16), "mine", 17, 18) for i, t in texts]
 
 
 @pytest.fixture(scope="module")
@@ -65,21 +68,47 @@ def test_quality(docs, empty):
         assert not (r["base_failed"] and r["kept"])
     assert quality.keep_good(docs).columns == docs.columns
     assert {r[0] for r in quality.keep_good(docs).select("doc_id").collect()} == {1, 2, 3, 4, 5, 14, 16, None}
-    assert quality.keep_good(empty).count() == 0
+    assert quality.keep_good(empty).count() == 0 and quality.quality(empty).count() == 0
 
 
 def test_cascade_order_does_not_change_verdicts(docs):
     rules = [*quality.base_rules(), *quality.default_rules()]
-    base = quality.with_stats(docs.select("doc_id", "text"))
-    ordered = quality.order_rules(base, rules, sample_rows=10_000)
+    ordered = quality.order_rules(docs, rules, sample_rows=10_000)
     assert {r.name for r in ordered} == {r.name for r in rules}
-    rejects = [base.where(r.rejects).count() / base.agg(F.sum(r.cost)).first()[0] for r in rules]
-    assert ordered[0].name == rules[int(np.argmax(rejects))].name
-    a = quality.cascade(base, rules).where("kept").select("doc_id").collect()
-    b = quality.cascade(base, rules[::-1]).where("kept").select("doc_id").collect()
+    a = quality.cascade(docs, rules).where("kept").select("doc_id").collect()
+    b = quality.cascade(docs, rules[::-1]).where("kept").select("doc_id").collect()
     assert sorted(a, key=str) == sorted(b, key=str)
 
 
+def test_rules_go_by_rejections_per_measured_cost(docs):
+    assert quality.ordered_by_gain([("00", 5), ("10", 2), ("01", 3)], [1.0, 1.0]) == [1, 0]
+    assert quality.ordered_by_gain([("00", 5), ("10", 2), ("01", 3)], [1.0, 2.0]) == [0, 1]
+    assert quality.ordered_by_gain([("110", 5), ("010", 1), ("001", 2), ("000", 2)], [1.0, 1.0, 1.0]) == [1, 2, 0]  # the first rejects nothing that is left
+    patterns, seconds = quality.measured(docs, [*quality.base_rules(), *quality.default_rules()], "text", 10_000, 1)
+    assert sum(n for _, n in patterns) == docs.count() and seconds[1] > seconds[0] > 0
+
+
+def test_later_rules_are_not_evaluated(docs):
+    def fails(s):
+        return F.raise_error(F.lit("evaluated")).cast("boolean")
+
+    rules = [quality.Rule("all", lambda s: s.n_words >= 0), quality.Rule("never", fails)]
+    assert {r[0] for r in docs.select(quality.failed_rule(rules)).collect()} == {"all"}
+
+
+def test_repeated_words_by_both_ways(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in range(40)] + [" ".join(f"w{rng.randrange(60)} x y" for _ in range(400))]
+    texts.append(" ".join(f"v{k}" for k in list(range(200)) * 2))
+    got = [r[0] for r in quality.quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)).orderBy("doc_id").select("n_repeat_words").collect()]
+    want = []
+    for t in texts:
+        w = ws(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        want.append(len({j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}))
+    assert got == want
+
+
 # --- near-duplicates ---------------------------------------------------------------------------
 
 
@@ -122,7 +151,13 @@ def test_near_duplicates(docs, empty, monkeypatch):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 4096])
+def test_one_of_each_group_by_doc_id_and_text(spark):
+    a, b = prose(21, 80), prose(22, 80)
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (6, b), (None, a), (7, None), (8, "")], "doc_id long, text string").repartition(2)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str) == sorted([(1, a), (5, b), (None, a), (7, None)], key=str)
+
+
+@pytest.mark.parametrize("block", [2, 12, 4096])
 def test_links_in_hot_lists(spark, block):
     rng = random.Random(5)
     centre = rng.getrandbits(64)
@@ -269,6 +304,73 @@ def test_leaks_of_very_short_and_very_long_items(spark):
     assert got[51, 50]["lcs"] >= 0.89 and (52, 50) not in got
 
 
+def brute_leaks(docs, items):
+    """Pairs that the rule of word by word checks accepts, over all stretches of all documents."""
+    out = set()
+    for i, text in docs:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        for j, t in items:
+            v = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+            m, size = len(v), min(len(w), len(v) + len(v) // 4 + 2)
+            most = 0
+            for a in range(max(len(w) - size, 0) + 1):
+                stretch = w[a : a + size]
+                if sum(x in v for x in stretch) < 0.5 * m:
+                    continue
+                row = [0] * (m + 1)
+                for x in stretch:
+                    new = [0]
+                    for k in range(m):
+                        new.append(row[k] + 1 if v[k] == x else max(row[k + 1], new[k]))
+                    row = new
+                most = max(most, row[-1])
+            if most >= 0.75 * m:
+                out.add((i, j))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(17)
+    items = [(k, prose(300 + k, rng.choice([10, 15, 25, 40]))) for k in range(25)]
+    docs = []
+    for i in range(150):
+        parts = [prose(400 + i, rng.randrange(120))]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items)[1].split()
+            how = rng.randrange(4)
+            if how == 1:  # words go or change
+                w = [rng.choice([x, x, x, x, "other", None]) for x in w]
+            elif how == 2:  # scrambled, then whole
+                w = [*rng.sample(w, len(w)), *w]
+            elif how == 3:  # scrambled alone
+                rng.shuffle(w)
+            parts += [" ".join(x for x in w if x), prose(900 + i, rng.randrange(60))]
+        docs.append((i, " ".join(parts)))
+    want = brute_leaks(docs, items)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 80 and len(want & set(got)) >= 0.98 * len(want)
+    assert all(got[p]["lcs"] < 0.75 for p in set(got) - want)  # these have the item's answer words
+
+
+def test_an_ordered_copy_beside_scrambled_ones_is_found():
+    item = np.arange(1, 41, dtype=np.uint64)
+    rng = np.random.default_rng(2)
+    copy = item.copy()
+    copy[::5] += 1000
+    region = np.concatenate([*(rng.permutation(item) for _ in range(2)), copy, *(rng.permutation(item) for _ in range(2))])
+    got = decontamination.verify(item, item[:5], region)
+    assert got is not None and got[0] >= 0.75 and 60 <= got[2] <= 82
+
+
+def test_blocks_of_items_share_a_pass(spark, monkeypatch):
+    items = spark.createDataFrame([(i, prose(3000 + i, 30)) for i in range(600)], "item_id long, text string")
+    df = spark.createDataFrame([(i, prose(50 + i, 50) + " " + prose(3000 + i, 30)) for i in range(600)], "doc_id long, text string")
+    for size, passes in ((1 << 30, 1), (1, 3)):
+        monkeypatch.setattr(decontamination, "PASS_BYTES", size)
+        assert len(list(decontamination._passes(df, items))) == passes
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, items).collect()} >= {(i, i) for i in range(600)}
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
@@ -296,10 +398,11 @@ def test_token_counts(spark, docs, empty):
     b = bpe.load(path)
     texts = awkward_texts(800, 1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in bpe.token_counts(df, path, 5).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"], r["cut_bytes"]) for r in bpe.token_counts(df, path, 5).collect()}
     for i, t in enumerate(texts):
         n = len(b.encode(t))
-        assert got[i] == (len(t.encode()), n, n > 5), t
+        cut = max(k for k in range(len(t) + 1) if len(b.encode(t[:k])) <= 5)
+        assert got[i] == (len(t.encode()), n, n > 5, len(t[:cut].encode())), t
     assert bpe.token_counts(docs, path).count() == docs.count() and bpe.token_counts(empty, path).count() == 0
 
 
@@ -307,16 +410,22 @@ def test_prefix_counts(spark):
     b = bpe.load(bpe.tokenizer_path())
     for t in [*awkward_texts(250, 2), "It's they'll we've  done\n\n  and 'quoted' 1234567 words" * 2]:
         assert b.prefix_counts(t).tolist() == [len(b.encode(t[:k])) for k in range(len(t) + 1)], t
+    texts = [*awkward_texts(400, 5), None, ""]
+    table = bpe.prefix_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.tokenizer_path())
+    for r in table.collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["prefix_tokens"] == [len(b.encode(t[:k])) for k in range(len(t) + 1)], t
     df = spark.createDataFrame([(1, "several words to be cut here"), (2, None)], "doc_id long, text string")
     cut = {r["doc_id"]: r["cut_chars"] for r in bpe.truncated(df, bpe.tokenizer_path(), 3).collect()}
     assert cut[2] == 0 and len(b.encode("several words to be cut here"[: cut[1]])) <= 3 < len(b.encode("several words to be cut here"[: cut[1] + 1]))
 
 
-@pytest.mark.parametrize("window", [64, 2048])
-def test_packing(docs, empty, window, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_BYTES", 40_000)
+@pytest.mark.parametrize("window, part", [(64, 3000), (2048, 1 << 24)])
+def test_packing(docs, empty, window, part, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", part)
+    monkeypatch.setattr(packing, "PARTS", 1 << 30)
     b = bpe.load(bpe.tokenizer_path())
-    rows = packing.packed(docs, window=window).collect()
+    rows = packing.packed(docs, window=window, shard_docs=3).collect()
     want = Counter((r[0], np.array(b.encode(r[1] or "") + [1], "<u4").tobytes()) for r in corpus())
     pieces = Counter()
     for i, blob in want:
@@ -331,9 +440,48 @@ def test_packing(docs, empty, window, monkeypatch):
         assert r["offset"] == lengths.get(r["sequence_id"], 0) and r["length"] > 0
         lengths[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(n <= window and (n == window or n & (n - 1) == 0) for n in lengths.values())
+    parts = {k >> 32 for k in lengths}
+    assert sum(n != window for n in lengths.values()) <= len(parts) * window.bit_length()
     assert packing.packed(empty, window=window).count() == 0
 
 
+def test_scores_are_those_of_bm25():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint16) for _ in range(25)]
+    index, n = packing.Index(docs), len(docs)
+    mean = np.mean([len(d) for d in docs])
+    bags = [Counter(d.tolist()) for d in docs]
+    df = Counter(t for b in bags for t in b)
+    for d in range(n):
+        want = np.zeros(n)
+        for t in bags[d]:
+            if df[t] > 1:
+                idf = np.log1p((n - df[t] + 0.5) / (df[t] + 0.5))
+                want += [idf * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) if b[t] else 0 for b, x in zip(bags, docs)]
+        assert np.allclose(index.scores(d), want, rtol=1e-5)
+
+
+def test_windows_fill_with_the_best_unused_document():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 300, rng.integers(5, 60)).astype(np.uint16) for _ in range(40)]
+    window, index = 100, packing.Index(docs)
+    order = packing.retrieval_order(docs, window, 1, 30)
+    assert sorted(order) == list(range(40))
+    at, seed, unused = 30, -1, set(range(40))
+    for d in order:  # each is the best of what was unused, for the document that opened the window
+        if seed >= 0:
+            scores = index.scores(seed)
+            best = max(unused, key=lambda x: (scores[x], -x))
+            assert d == best if scores[best] > 0 else d == min(unused)
+        else:
+            assert d == min(unused)
+            seed = d
+        unused.remove(d)
+        before, at = at, at + len(docs[d]) + 1
+        if before // window != at // window:
+            seed = d if at % window else -1
+
+
 def test_seed_gets_its_neighbour():
     rng = np.random.default_rng(0)
     topic = [rng.integers(1000 * k, 1000 * k + 300, 40) for k in range(4)]
@@ -343,6 +491,18 @@ def test_seed_gets_its_neighbour():
     assert all(len({order[3 * k + j] % 4 for j in range(3)}) == 1 for k in range(4))
 
 
+def test_copies_are_dealt_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART_BYTES", 2000)
+    monkeypatch.setattr(packing, "PARTS", 1 << 30)
+    rows = [(i, prose(77, 40)) for i in range(150)] + [(1000 + i, None) for i in range(3000)] + [(5000 + i, prose(100 + i, 40)) for i in range(150)]
+    tokens = packing.token_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bpe.tokenizer_path()).cache()
+    out, count = packing.dealt(tokens)
+    sizes = [r["n"] for r in out.groupBy("part").agg(F.sum(F.octet_length("ids") + 2).alias("n")).collect()]
+    assert out.count() == len(rows) and len(sizes) <= count and max(sizes) < 3 * 2000
+    near = tokens.where("doc_id < 1000").select("key1", "key2").distinct().count()
+    assert near == 1
+
+
 # --- languages, licences, URLs ------------------------------------------------------------------
 
 
@@ -359,6 +519,31 @@ def test_languages(spark, docs, empty):
     assert langid.fit(train.where("false")) is None and {r["lang_pred"] for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_rare_labels_do_not_win_what_nobody_knows(spark):
+    en = [(prose(i, 60), "en") for i in range(600)]
+    rows = [*en, ("der garten und das haus mit einem ding", "de"), ("12 34", "xx"), (None, "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), 100, 50)
+    assert model.names == ["de", "en"]
+    texts = ["η γάτα είναι στο σπίτι", "xqzvw kjhgf qwrtp", prose(3, 40), "das haus und der garten"]
+    got = [r["lang_pred"] for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got[2:] == ["en", "de"] and got[:2] != ["de", "de"]
+
+
+def test_many_labels_have_fewer_ngrams():
+    assert langid.bucket_count(4) == langid.bucket_count(512) == 1 << 16 and langid.bucket_count(1000) == 1 << 15 and langid.bucket_count(100_000) == 1 << 12
+
+
+def test_mixture_is_the_most_likely(spark):
+    rng = np.random.default_rng(1)
+    model = langid.LanguageModel(["a", "b"], rng.integers(0, 50, (2, 4096)).astype(float))
+    bucket = rng.choice(4096, 300, replace=False)
+    count = rng.integers(1, 5, 300).astype(float)
+    p = model.p[bucket].astype(float)
+    pi, fit = model._em(p, count)
+    grid = [count @ np.log(p @ np.array([x, 1 - x])) for x in np.linspace(0, 1, 2001)]
+    assert abs(fit - max(grid)) < 0.01 and abs(pi[0] - np.linspace(0, 1, 2001)[int(np.argmax(grid))]) < 0.05
+
+
 def test_licenses(docs, empty):
     got = {}
     for r in licenses.licenses(docs).collect():
@@ -377,11 +562,73 @@ def test_licenses(docs, empty):
     assert licenses.licenses(docs).count() == docs.count() and licenses.licenses(empty).count() == 0
 
 
+def brute_spans(text, templates):
+    low = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w, k, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low), licenses.K, []
+    for i, (_, t) in enumerate(templates):
+        v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        hits = sorted((a - p, a, p) for a in range(len(w) - k + 1) for p in range(len(v) - k + 1) if w[a : a + k] == v[p : p + k])
+        islands: list[list] = []
+        for d, a, p in hits:
+            if not islands or d - islands[-1][-1][0] > licenses.NEIGHBOUR:
+                islands.append([])
+            islands[-1].append((d, a, p))
+        for island in islands:
+            points = sorted((a, -p) for _, a, p in island)
+            longest: list[int] = []
+            for at, (a, p) in enumerate(points):  # the longest ascending chain, by trying all before
+                longest.append(1 + max((n for n, (b, q) in zip(longest, points[:at]) if b < a and -q < -p), default=0))
+            out.append((i, len(island), max(longest), len(v)))
+    return out
+
+
+def test_spans_are_those_of_brute_force(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        _, t = rng.choice(licenses.TEMPLATES)
+        w = t.split()
+        for _ in range(rng.randrange(4)):  # changes, gaps, swaps
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice([[], ["word"], ["two", "words"], w[:4]])
+        texts.append(" ".join([*prose(rng.randrange(99), rng.randrange(9)).split(), *w, *prose(1, 4).split(), *w[len(w) // 2 :], *w[: len(w) // 2]]))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, key long, text string").repartition(3)
+    got: dict = {}
+    for r in licenses.template_spans(licenses.scan(df)).collect():
+        assert r["coverage"] >= licenses.COVERAGE and 0 <= r["start"] < r["end"]
+        got.setdefault(r["doc_id"], Counter())[r["template"], r["votes"]] += 1
+    for i, t in enumerate(texts):
+        # a chain of n grams covers n + 2 words at least, and three a gram at most
+        sure, maybe = Counter(), Counter()
+        for template, votes, longest, size in brute_spans(t, licenses.TEMPLATES):
+            sure[template, votes] += longest + licenses.K - 1 >= licenses.COVERAGE * size
+            maybe[template, votes] += min(licenses.K * longest, size) >= licenses.COVERAGE * size
+        assert +sure <= got.get(i, Counter()) <= maybe
+
+
+def test_chains_are_longest():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        at, place = rng.integers(0, 12, (2, rng.integers(1, 25)))
+        some = licenses.chain(at, place)
+        a, p = at[some], place[some]
+        assert (np.diff(a) > 0).all() and (np.diff(p) > 0).all()
+        points = sorted(zip(at.tolist(), place.tolist()))
+        longest: list[int] = []
+        for k, (x, y) in enumerate(points):
+            longest.append(1 + max((n for n, (u, v) in zip(longest, points[:k]) if u < x and v < y), default=0))
+        assert len(some) == max(longest)
+
+
 def test_license_spans_with_gaps(spark):
     text = "intro " * 7 + "Permission is hereby granted, free of charge, to any single person obtaining a copy of this software and associated documentation files"
-    df = spark.createDataFrame([(1, 5, text)], "doc_id long, key long, text string")
-    (r,) = licenses.template_spans(df).collect()
-    assert licenses.TEMPLATES[r["template"]][0] == "mit" and (r["start"], r["end"]) == (7, 28) and 0.75 <= r["coverage"] <= 1
+    scrambled = " ".join(sorted("you can redistribute it and or modify it under the terms of the gnu general public license".split()))
+    whole = next(t for label, t in licenses.TEMPLATES if label == "isc").upper()
+    df = spark.createDataFrame([(1, 5, text), (2, 6, scrambled), (3, 7, whole)], "doc_id long, key long, text string")
+    got = {(r["doc_id"], licenses.TEMPLATES[r["template"]][0]): r for r in licenses.template_spans(licenses.scan(df)).collect()}
+    assert set(got) == {(1, "mit"), (3, "isc")}
+    r = got[1, "mit"]
+    assert (r["start"], r["end"]) == (7, 28) and 0.75 <= r["coverage"] <= 1 and got[3, "isc"]["coverage"] == 1
 
 
 def test_urls(spark):
@@ -408,6 +655,83 @@ def test_bad_branch_among_many_siblings(spark):
     assert {p for p, v in got.items() if v == "block"} == set(range(60))
 
 
+def brute_templates(rows, bad):
+    """Template and (labelled, purity) of each path of each host, by a tree in plain dictionaries."""
+    counts: dict = {}
+    for page, host, segs in rows:
+        n, b = counts.get((host, segs), (0, 0))
+        counts[host, segs] = (n + (page in bad), b + bad.get(page, 0))
+    total = sum(n for n, _ in counts.values())
+    prior = sum(b for _, b in counts.values()) / max(total, 1)
+    rate = lambda b, n: (b + urls.PRIOR * prior) / (n + urls.PRIOR)
+    template = {k: k[1] for k in counts}
+    level = 0
+    while True:
+        groups: dict = {}
+        for k, (n, b) in counts.items():
+            t = template[k]
+            if len(t) > level:
+                x = groups.setdefault((k[0], t[:level]), {}).setdefault(t[level], [0, 0])
+                x[0] += n
+                x[1] += b
+        groups = {k: v for k, v in groups.items() if sum(n for n, _ in v.values()) >= urls.LEAST_LABELLED}
+        if not groups:
+            break
+        renamed = dict(template)
+        for (host, parent), children in groups.items():
+            pn, pb = (sum(x[i] for x in children.values()) for i in (0, 1))
+            for child, (n, b) in children.items():
+                p1, p2 = rate(b, n), rate(pb - b, pn - n)
+                error = (p1 * (1 - p1) / (n + urls.PRIOR) + p2 * (1 - p2) / (pn - n + urls.PRIOR)) ** 0.5
+                if len(children) > 1 and (abs(p1 - p2) <= urls.Z * error or (len(children) > urls.MANY and n < urls.LEAST_LABELLED)):
+                    for k, t in template.items():
+                        if k[0] == host and t[: level + 1] == (*parent, child):
+                            renamed[k] = (*parent, "*", *t[level + 1 :])
+        template = renamed
+        level += 1
+    sums: dict = {}
+    for k, (n, b) in counts.items():
+        x = sums.setdefault((k[0], template[k]), [0, 0])
+        x[0] += n
+        x[1] += b
+    return {k: (template[k], sums[k[0], template[k]][0], rate(sums[k[0], template[k]][1], sums[k[0], template[k]][0])) for k in counts}
+
+
+def test_templates_are_those_of_brute_force(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(1800):
+        host = rng.choice(["a.io", "b.io", "c.io"])
+        segs = [rng.choice("pqrs") * rng.choice([2, 3])] + [rng.choice(["u", "v", "wx"]) for _ in range(rng.choice([1, 1, 1, 2, 8]))]
+        if host == "c.io":
+            segs = [f"k{'y' * rng.randrange(25)}", *segs]
+        rows.append((i, f"http://{host}/{'/'.join(segs)}", host, tuple(segs)))
+    bad = {i: int((segs[0][0] == "p" or (len(segs) > 1 and segs[1][0] == "p")) != (rng.random() < 0.02)) for i, _, _, segs in rows if rng.random() < 0.8}
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").repartition(3)
+    labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    got = {r["page_id"]: r for r in urls.judge(pages, labels=labels).collect()}
+    want = brute_templates([(i, host, segs) for i, _, host, segs in rows], bad)
+    blocked = 0
+    for i, _, host, segs in rows:
+        template, n, purity = want[host, segs]
+        verdict = "block" if purity >= urls.PURITY and n >= urls.LEAST_LABELLED else "allow"
+        blocked += verdict == "block"
+        assert got[i]["template"] == "/" + "/".join(template) and abs(got[i]["purity"] - purity) < 1e-12 and got[i]["verdict"] == verdict
+    assert blocked > 20
+
+
+def test_deep_paths_are_told_apart(spark):
+    rows = [(i, f"http://h.io/a/b/c/d/e/f/{'bad' if i < 60 else 'good'}/{i}") for i in range(120)] + [(500, "http://h.io/" + "x/" * 3000)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120) if i % 60 < 50], "page_id long, bad int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()}
+    assert {p for p, v in got.items() if v == "block"} == set(range(60))
+
+
+def test_urls_of_tables_with_other_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1", "h", "v", 1), (1, "http://a.com/en/1", "h", "v", 1)], "page_id long, url string, host string, verdict string, bad int")
+    assert [(r["host"], r["verdict"]) for r in urls.judge(df).collect()] == [("a.com", "block")] * 2
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
@@ -425,8 +749,62 @@ def test_archives(spark, tmp_path, monkeypatch):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", min(same)) if again else ("response", None))
         assert r["uri"] == (None if url is None else url.replace("\r\n", ""))
-    one = next((tmp_path / "w" / "deduplicated").glob("*.warc.gz"))
-    with open(one, "rb") as f:
-        records = [warc.parse(raw)[0]["warc-type"] for _, _, raw in warc.members(f, 7)]
-    assert records[0] == "warcinfo" and len(records) > 1
+    with_all = {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"}
+    kinds, ids, refers, bare = Counter(), set(), set(), []
+    for one in (tmp_path / "w" / "deduplicated").glob("*.warc.gz"):
+        with open(one, "rb") as f:
+            records = [warc.parse(raw) for _, _, raw in warc.members(f, 7)]
+        assert records[0][0]["warc-type"] == "warcinfo" and records[0][0]["warc-filename"] == one.name and b"format:" in records[0][1]
+        for fields, block in records:
+            assert with_all <= set(fields) and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"])
+            assert fields["warc-date"] >= "2025" and len(block) == int(fields["content-length"])
+            kinds[fields["warc-type"]] += 1
+            ids.add(fields["warc-record-id"])
+            if fields["warc-type"] != "warcinfo":
+                assert {"warc-target-uri", "warc-payload-digest", "warc-warcinfo-id"} <= set(fields) and fields["warc-target-uri"]
+            if fields["warc-type"] == "revisit":
+                assert {"warc-profile", "warc-refers-to-target-uri", "warc-refers-to-date"} <= set(fields) and block.endswith(b"\r\n\r\n")
+                refers.add(fields["warc-refers-to"])
+            bare.append(fields["warc-type"])
+    assert kinds["revisit"] == 3 and kinds["response"] == 8 and len(ids) == sum(kinds.values()) and refers <= ids
     assert warc.deduplicate(pages.where("false"), str(tmp_path / "e")).count() == 0
+
+
+def test_archives_of_repeated_and_long_pages(spark, tmp_path):
+    long = "wörd " * 200_000
+    rows = [(4, "u", long, 1, "p"), (4, "u", long, 2, "p"), (9, "u", long, 3, "p"), (None, "v", long, 4, "p"), (None, None, None, 5, "p"), (5, "", "x" * 100, 6, "p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int, path string").repartition(2)
+    got = sorted(((r["page_id"], r["uri"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.deduplicate(pages).collect()), key=str)
+    n = len(long.encode())
+    assert got == sorted([(4, "u", n, "response", None), (4, "u", n, "response", None), (9, "u", n, "revisit", 4), (None, "v", n, "revisit", 4), (None, None, 0, "response", None), (5, "", 100, "response", None)], key=str)
+
+
+# --- the corpora of large clusters in small --------------------------------------------------------
+
+
+def test_a_passage_of_very_many_documents_fills_no_bucket(spark, monkeypatch):
+    shared = prose(500, 60)
+    rows = [(i, prose(1000 + i, 3 + i % 7) + " " + shared + " " + prose(9000 + i, 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    total, buckets, chunk = substring.layout(df)
+    send = spark.sparkContext.broadcast
+    found = substring.frequent_windows(df, (25, 50), total)
+    assert all(len(f.hashes) for f in found)
+    seen = {}
+    for name, blocks in (("with", found[0]), ("without", substring.Frequent())):
+        packed = df.select("doc_id", "text")
+        anchored = substring.anchors(packed, 50, buckets, chunk, send(blocks))
+        seen[name] = sum(len(r["blob"]) for r in anchored.collect())
+    assert seen["with"] < seen["without"] / 20
+    for sample in (1 << 20, 0):  # with and without frequent windows the result is the same
+        monkeypatch.setattr(substring, "MOST_FREQUENT", sample)
+        assert sorted(map(tuple, substring.removal_digests(df).collect()), key=str) == brute_removal(rows, 50)
+
+
+def test_sampled_windows_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SAMPLE_BYTES", 20_000)
+    rng = random.Random(31)
+    shared = [prose(600 + k, 70) for k in range(4)]
+    rows = [(i, " ".join([prose(7000 + i, rng.randrange(40)), rng.choice(shared), prose(8000 + i, rng.randrange(40)), *rng.sample(shared, rng.randrange(3))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, substring.removal_digests(df).collect()), key=str) == brute_removal(rows, 50)
