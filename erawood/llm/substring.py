@@ -44,7 +44,7 @@ BUCKET_BYTES = 16 << 20
 BUCKETS = 1 << 14
 #: Bytes of text in which frequent windows are sought, how many documents of it must share one, and
 #: how many are decided apart, the most frequent first; the others go through the buckets.
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 LEAST_SHARED = 5
 MOST_FREQUENT = 1 << 16
 _LOW_BITS = 22
@@ -202,25 +202,29 @@ def frequent_windows(docs: DataFrame, widths: tuple[int, int], total: int) -> li
     share = 1.0 if total <= SAMPLE_BYTES else SAMPLE_BYTES / total
 
     def seek(batches):
-        held, base = [[] for _ in widths], 0
+        hashes, docs_of, base = [], [], 0
         for part in slices(batches, "text", CHUNK_BYTES):
             h, doc, _, _ = _words(part)
-            for out, width in zip(held, widths):
-                r, at = _windows(h, doc, width)
-                out.append((_mixed(r[at]), doc[at] + base))
+            hashes.append(h)
+            docs_of.append((doc + base).astype(np.int32))
             base += part.num_rows
-        for kind, found in enumerate(held):
-            if not found:
+        if not hashes:
+            return
+        h, of = np.concatenate(hashes), np.concatenate(docs_of)
+        hashes.clear()
+        docs_of.clear()
+        for kind, width in enumerate(widths):
+            r, at = _windows(h, of, width)
+            if not len(at):
                 continue
-            r, doc = (np.concatenate(x) for x in zip(*found))
+            r, doc = _mixed(r[at]), of[at]
             order = np.argsort(r, kind="stable")  # documents ascend among equal hashes
             r, doc = r[order], doc[order]
-            if not len(r):
-                continue
+            del order, at
             heads, _ = _groups(r)
             first = np.ones(len(r), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (r[1:] != r[:-1])
-            n = np.add.reduceat(first.astype(np.int64), heads)
+            n = np.add.reduceat(first, heads, dtype=np.int64)
             top = np.flatnonzero(n >= LEAST_SHARED)
             top = top[np.argsort(-n[top], kind="stable")[:MOST_FREQUENT]]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), kind), pa.int32()), pa.array(r[heads[top]].view(np.int64))], ["kind", "hash"])
