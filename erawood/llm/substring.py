@@ -44,8 +44,8 @@ BUCKET_BYTES = 16 << 20
 BUCKETS = 1 << 14
 #: Bytes of text in which frequent windows are sought, how many documents of it must share one, and
 #: how many are decided apart, the most frequent first; the others go through the buckets.
-SAMPLE_BYTES = 16 << 20
-LEAST_SHARED = 5
+SAMPLE_BYTES = 8 << 20
+LEAST_SHARED = 4
 MOST_FREQUENT = 1 << 16
 _LOW_BITS = 22
 _NONE, _NEVER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -271,7 +271,7 @@ def _hits(doc: np.ndarray, block: np.ndarray, owner: np.ndarray, last: np.ndarra
 
 
 def anchors(docs: DataFrame, window: int, buckets: int, chunk: int, blocks) -> DataFrame:
-    """Anchors by the documents that hold them, packed for ``_at_home``; ``blocks`` are frequent and left out."""
+    """Rows ``(doc_id, places)``: the starts of probes and blocks that met, packed; frequent ``blocks`` are left out."""
     half = window // 2
 
     def probes(batches):
@@ -301,43 +301,31 @@ def anchors(docs: DataFrame, window: int, buckets: int, chunk: int, blocks) -> D
         hit = _hits(doc, block, owner, last)
         return _sent_home([doc[hit]], place[hit], buckets)
 
-    return docs.select("doc_id", "text").mapInArrow(probes, _BLOBS).groupBy("bucket").applyInArrow(meet, _BLOBS)
+    packed = docs.select("doc_id", "text").mapInArrow(probes, _BLOBS)
+    return _at_home(packed.groupBy("bucket").applyInArrow(meet, _BLOBS), ["doc_id"])
 
 
-def _ids_of(packed: DataFrame) -> DataFrame:
-    """The first id of each document of packed places."""
+def _meet_places(docs: DataFrame, found: DataFrame, keys: list, columns: list[str], places: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts with ``places``: those that ``found`` may have, joined with it, and the rest.
 
-    def ids(batches):
-        for batch in batches:
-            for cell in batch.column("blob"):
-                blob = memoryview(cell.as_buffer())
-                n = int(np.frombuffer(blob[:4], np.uint32)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(from_planes(blob[8:], np.int64, n))], ["id"])
-
-    return packed.mapInArrow(ids, "id long")
-
-
-def _meet_places(docs: DataFrame, packed: DataFrame, names: list[str], keys: list, columns: list[str], places: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts with ``places``: those that may have some, joined with them, and the rest.
-
-    Only the first part is shuffled. ``keys`` are the columns of ``docs`` that ``names`` stand for.
+    Only the first part is shuffled. ``keys`` are what ``docs`` has for the columns of ``found``
+    before its places.
     """
-    maybe = members(_ids_of(packed))(keys[0])
-    renamed = free_names(docs.columns, *names, "places")
-    home = _at_home(packed, names).toDF(*renamed).hint("merge")
+    maybe = members(found, found.columns[0])(keys[0])
+    renamed = free_names(docs.columns, *found.columns)
+    home = found.toDF(*renamed).hint("merge")
     match = keys[0] == F.col(renamed[0])
-    for key, name in zip(keys[1:], renamed[1:]):
+    for key, name in zip(keys[1:], renamed[1:-1]):
         match = match & (key == F.col(name))
     touched = docs.where(maybe).join(home, match, "left").select(*map(quoted, columns), F.col(renamed[-1]).alias(places))
     return touched, docs.where(~maybe).select(*map(quoted, columns), F.lit(None).cast("binary").alias(places))
 
 
 def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """Starts of the windows that a smaller document has too, packed and stored at ``path``.
+    """Rows ``(doc_id, text_hash, places)``, stored at ``path``: starts of the windows that a smaller document has too.
 
-    They are kept by doc_id and a hash of the text, which tells apart rows that repeat a doc_id
-    with another text; such rows never remove each other's words. Rows with a null doc_id take no
-    part.
+    ``text_hash`` tells apart rows that repeat a doc_id with another text; such rows never remove
+    each other's words. Rows with a null doc_id take no part.
     """
     half = window // 2
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -347,7 +335,7 @@ def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     found_path = scratch_path(spark, "anchors")
     found = stored_at(anchors(docs, window, buckets, chunk, blocks), found_path)
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    touched, rest = _meet_places(docs, found, ["doc_id"], [F.col("doc_id")], ["doc_id", "text_hash", "text"], "places")
+    touched, rest = _meet_places(docs, found, [F.col("doc_id")], ["doc_id", "text_hash", "text"], "places")
 
     def extend(batches):
         for part in slices(batches, "text", chunk):
@@ -391,7 +379,8 @@ def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         return _sent_home([doc[at], text[at]], place[at], buckets)
 
     searched = touched.unionByName(rest) if len(blocks.value.hashes) else touched
-    out = stored_at(searched.mapInArrow(extend, _BLOBS).groupBy("bucket").applyInArrow(compare, _BLOBS), path)
+    packed = searched.mapInArrow(extend, _BLOBS).groupBy("bucket").applyInArrow(compare, _BLOBS)
+    out = stored_at(_at_home(packed, ["doc_id", "text_hash"]), path)
     discard(spark, found_path)
     return out
 
@@ -416,7 +405,7 @@ def _with_places(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, st
     found = repeats(docs, scratch_path(docs.sparkSession, "repeats"), window)
     (places,) = free_names(docs.columns, "places")
     keys = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
-    return *_meet_places(docs, found, ["doc_id", "text_hash"], keys, docs.columns, places), places
+    return *_meet_places(docs, found, keys, docs.columns, places), places
 
 
 def _texts(part: pa.RecordBatch, places: str, window: int):
