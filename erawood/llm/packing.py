@@ -108,8 +108,15 @@ def parts_of(sizes: dict[int, int], most: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def slots(spark: SparkSession, count: int) -> DataFrame:
+    """``(part, slot)``: for each of ``count`` parts a number that Spark's hash deals to a partition of its own."""
+    tries = count * (2 * count.bit_length() + 8)
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(count)).alias("part")
+    return spark.range(tries).select(F.col("id").cast("int").alias("id"), place).groupBy("part").agg(F.min("id").alias("slot"))
+
+
 def dealt(tokens: DataFrame) -> tuple[DataFrame, int]:
-    """``tokens`` with ``part``, and the number of parts."""
+    """``tokens`` with ``part`` and ``slot``, and the number of parts."""
     spark = tokens.sparkSession
     weight = F.octet_length("ids") + 2
     # one row for each id of the vocabulary at most
@@ -128,7 +135,8 @@ def dealt(tokens: DataFrame) -> tuple[DataFrame, int]:
         by = F.when(F.col("heavy"), F.xxhash64("doc_id", F.crc32("ids"))).otherwise(F.xxhash64("key2"))
         out = out.join(F.broadcast(heavy), ["key1", "key2"], "left")
         part = part + F.pmod(by, F.col("n")).cast("int")
-    return out.select("doc_id", "key1", "key2", "ids", part.alias("part")), count
+    out = out.select("doc_id", "key1", "key2", "ids", part.alias("part"))
+    return out.join(F.broadcast(slots(spark, count)), "part", "left"), count
 
 
 class Index:
@@ -287,7 +295,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = SEQUENCE, end
     def run(batches):
         yield from pack_stream(batches, _kind(path), window, end_id, shard_docs)
 
-    rows = tokens.repartition(count, "part").sortWithinPartitions("part", "key1", "key2", "doc_id", "ids")
+    rows = tokens.repartition(count, "slot").sortWithinPartitions("part", "key1", "key2", "doc_id", "ids")
     return rows.select("part", "doc_id", "ids").mapInArrow(run, _SCHEMA)
 
 

@@ -499,6 +499,9 @@ def test_copies_are_dealt_over_many_parts(spark, monkeypatch):
     out, count = packing.dealt(tokens)
     sizes = [r["n"] for r in out.groupBy("part").agg(F.sum(F.octet_length("ids") + 2).alias("n")).collect()]
     assert out.count() == len(rows) and len(sizes) <= count and max(sizes) < 3 * 2000
+    assert out.where("slot is null").count() == 0
+    tasks = out.repartition(count, "slot").select("part", F.spark_partition_id().alias("p")).distinct().groupBy("p").count()
+    assert tasks.agg(F.max("count")).first()[0] == 1
     near = tokens.where("doc_id < 1000").select("key1", "key2").distinct().count()
     assert near == 1
 
