@@ -31,7 +31,7 @@ from erawood.llm.words import hash_spans, spans
 
 LIMIT = 1024
 #: Distinct pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 1 << 18
 _LETTER, _NUMBER, _OTHER, _WHITE, _UNSURE = 1, 2, 3, 4, 5
 _SPACES = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
@@ -147,13 +147,17 @@ class Bpe:
         core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})
         self._encode = core._core_bpe.encode_single_piece
         self._fits: dict[int, bool] = {}
-        #: The vocabulary as a tree of bytes; -1 leads to the id of the token that ends there.
-        self._tree: dict = {}
+
+    @functools.cached_property
+    def _tree(self) -> dict:
+        """The vocabulary as a tree of bytes; -1 leads to the id of the token that ends there."""
+        tree: dict = {}
         for token, number in self.ids.items():
-            node = self._tree
+            node = tree
             for c in token:
                 node = node.setdefault(c, {})
             node[-1] = number
+        return tree
 
     def encode_piece(self, piece: bytes) -> list[int]:
         return self._encode(piece)

@@ -103,36 +103,43 @@ def _member_places(ids: np.ndarray) -> np.ndarray:
     return np.stack(out)
 
 
-def members(batches_of_ids: DataFrame, column: str = "id") -> Column | None:
-    """A predicate maker over long columns that is true for all ids in ``column`` and few others.
+class Members:
+    """A filter of fixed size over long ids: it holds all ids it was made of, and few others.
 
-    The filter has a fixed size; when it fills up more rows pass it, and none is lost. Tasks set
-    its words, which are combined by partial aggregation, so that the words alone reach the driver.
+    When it fills up more ids pass it, and none is lost. Tasks set its words, which are combined by
+    partial aggregation, so that the words alone reach the driver.
     """
 
-    def words(batches):
+    def __init__(self, df: DataFrame, column: str):
+        def words(batches):
+            held = np.zeros(MEMBER_BITS // 64, np.uint64)
+            for batch in batches:
+                at = _member_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+                np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            at = np.flatnonzero(held)
+            for lo in range(0, max(len(at), 1), 1 << 16):
+                some = at[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some].view(np.int64))], ["word", "bits"])
+
+        ids = df.select(F.col(column).cast("long").alias("id")).where("id is not null")
+        rows = ids.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         held = np.zeros(MEMBER_BITS // 64, np.uint64)
-        for batch in batches:
-            at = _member_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
-            np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        at = np.flatnonzero(held)
-        for lo in range(0, max(len(at), 1), 1 << 16):
-            some = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some].view(np.int64))], ["word", "bits"])
-
-    ids = batches_of_ids.select(F.col(column).cast("long").alias("id")).where("id is not null")
-    rows = ids.mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    held = np.zeros(MEMBER_BITS // 64, np.uint64)
-    held[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-    shared = batches_of_ids.sparkSession.sparkContext.broadcast(held)
-
-    def maybe(ids: pa.Array) -> pa.Array:
-        at = _member_places(ids.to_numpy(zero_copy_only=False))
-        bits = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        return pa.array(bits.all(axis=0))
-
-    test = F.arrow_udf(maybe, "boolean")
-    return lambda c: c.isNotNull() & test(F.coalesce(c.cast("long"), F.lit(0).cast("long")))
+        held[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+        self.shared = df.sparkSession.sparkContext.broadcast(held)
+
+    def test(self, ids: pa.Array) -> np.ndarray:
+        """Which ids it may hold; nulls it doesn't."""
+        there = ids.is_valid().to_numpy(zero_copy_only=False)
+        at = _member_places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return ((self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=0) & there
+
+    def maybe(self, column: Column) -> Column:
+        """The same as a column. It takes a Python worker of its own, so it stands best where no other one is."""
+
+        def test(ids: pa.Array) -> pa.Array:
+            return pa.array(self.test(ids))
+
+        return F.arrow_udf(test, "boolean")(column.cast("long"))
 
 
 def shuffle_width(spark: SparkSession) -> int:

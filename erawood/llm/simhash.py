@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erawood.llm.common import cut, free_names, members, quoted, slices, table
+from erawood.llm.common import CHUNK_BYTES, Members, cut, free_names, quoted, slices, table
 from erawood.llm.components import connected_components
 
 MAX_BITS = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, text_hash, fp)``: the fingerprint as a signed long."""
 
     def run(batches):
-        for part in slices(batches, "text", 16 << 20):
+        for part in slices(batches, "text", CHUNK_BYTES):
             texts = part.column("text").fill_null("").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     only where a filter of fixed size says that their document may go.
     """
     gone = cut(_grouped(docs).where("doc_id != component_id").select("doc_id", "text_hash").distinct())
-    maybe = members(gone, "doc_id")(F.col("doc_id").cast("long"))
+    maybe = Members(gone, "doc_id").maybe(F.col("doc_id"))
     a, b = free_names(docs.columns, "doc_id", "text_hash")
     match = (F.col("doc_id").cast("long") == F.col(a)) & (F.xxhash64(F.col("text").cast("string")) == F.col(b))
     left = docs.where(maybe).join(gone.toDF(a, b).hint("merge"), match, "left_anti")

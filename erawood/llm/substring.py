@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from erawood.llm.common import CHUNK_BYTES, discard, free_names, mapped, members, quoted, scratch_path, shuffle_width, slices, stored_at, table, text_bytes
+from erawood.llm.common import CHUNK_BYTES, Members, discard, free_names, mapped, quoted, scratch_path, shuffle_width, slices, stored_at, table, text_bytes
 from erawood.llm.words import MULTIPLIERS, NOT_SPACE, byte_planes, from_planes, hash_spans, rolling, spans
 
 WINDOW = 50
@@ -305,20 +305,43 @@ def anchors(docs: DataFrame, window: int, buckets: int, chunk: int, blocks) -> D
     return _at_home(packed.groupBy("bucket").applyInArrow(meet, _BLOBS), ["doc_id"])
 
 
-def _meet_places(docs: DataFrame, found: DataFrame, keys: list, columns: list[str], places: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts with ``places``: those that ``found`` may have, joined with it, and the rest.
+class _Once:
+    """Drops the copies of joined documents among the others, in tasks."""
 
-    Only the first part is shuffled. ``keys`` are what ``docs`` has for the columns of ``found``
-    before its places.
+    def __init__(self, members: Members, key: str, joined: str):
+        self.members, self.key, self.joined = members, key, joined
+
+    def __call__(self, batches):
+        for batch in batches:
+            key, joined = (batch.column(batch.schema.get_field_index(c)) for c in (self.key, self.joined))
+            twice = ~joined.to_numpy(zero_copy_only=False) & self.members.test(key)
+            yield batch.filter(pa.array(~twice)) if twice.any() else batch
+
+
+class Placed:
+    """Documents met with places of theirs, null for none: all in ``rows``, or in two parts.
+
+    Documents that ``found`` may have are joined with it, and shuffled for that; the others come as
+    they are. ``rows`` has the former in both ways, until ``once`` has dropped the second, which
+    spares a task a second Python worker for the filter. ``keys`` are what ``docs`` has for the
+    columns of ``found`` before its places.
     """
-    maybe = members(found, found.columns[0])(keys[0])
-    renamed = free_names(docs.columns, *found.columns)
-    home = found.toDF(*renamed).hint("merge")
-    match = keys[0] == F.col(renamed[0])
-    for key, name in zip(keys[1:], renamed[1:-1]):
-        match = match & (key == F.col(name))
-    touched = docs.where(maybe).join(home, match, "left").select(*map(quoted, columns), F.col(renamed[-1]).alias(places))
-    return touched, docs.where(~maybe).select(*map(quoted, columns), F.lit(None).cast("binary").alias(places))
+
+    def __init__(self, docs: DataFrame, found: DataFrame, keys: list, columns: list[str]):
+        members = Members(found, found.columns[0])
+        key, self.places, joined = free_names(columns, "id", "places", "joined")
+        self.once = _Once(members, key, joined)
+        own = [*map(quoted, columns), keys[0].alias(key)]
+        renamed = free_names(docs.columns, *found.columns)
+        match = keys[0] == F.col(renamed[0])
+        for key, name in zip(keys[1:], renamed[1:-1]):
+            match = match & (key == F.col(name))
+        maybe = members.maybe(keys[0])
+        home = found.toDF(*renamed).hint("merge")
+        self.touched = docs.where(maybe).join(home, match, "left").select(*own, F.col(renamed[-1]).alias(self.places), F.lit(True).alias(joined))
+        self.rest = docs.where(~maybe).select(*map(quoted, columns))
+        every = docs.select(*own, F.lit(None).cast("binary").alias(self.places), F.lit(False).alias(joined))
+        self.rows = self.touched.unionByName(every)
 
 
 def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
@@ -335,10 +358,11 @@ def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     found_path = scratch_path(spark, "anchors")
     found = stored_at(anchors(docs, window, buckets, chunk, blocks), found_path)
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    touched, rest = _meet_places(docs, found, [F.col("doc_id")], ["doc_id", "text_hash", "text"], "places")
+    placed = Placed(docs, found, [F.col("doc_id")], ["doc_id", "text_hash", "text"])
+    once, held = placed.once, placed.places
 
     def extend(batches):
-        for part in slices(batches, "text", chunk):
+        for part in slices(once(batches), "text", chunk):
             h, doc, first, place = _words(part)
             r, at = _windows(h, doc, window)
             if not len(at):
@@ -346,7 +370,7 @@ def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             ids = [part.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "text_hash")]
             near = np.zeros(len(h) + 1, np.int64)
             anchored = np.zeros(len(h), bool)
-            places = part.column("places")
+            places = part.column(held)
             for d in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)):
                 a = np.frombuffer(places[int(d)].as_buffer(), np.uint32).astype(np.int64)
                 anchored[first[d] + a[a < first[d + 1] - first[d]]] = True
@@ -378,7 +402,7 @@ def repeats(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         at = at[doc[at] > least]
         return _sent_home([doc[at], text[at]], place[at], buckets)
 
-    searched = touched.unionByName(rest) if len(blocks.value.hashes) else touched
+    searched = placed.rows if len(blocks.value.hashes) else placed.touched
     packed = searched.mapInArrow(extend, _BLOBS).groupBy("bucket").applyInArrow(compare, _BLOBS)
     out = stored_at(_at_home(packed, ["doc_id", "text_hash"]), path)
     discard(spark, found_path)
@@ -400,12 +424,10 @@ def _covered(places: pa.Scalar, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _with_places(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
-    """``docs`` in two parts, with and without repeats perhaps, and the name of the column of their places."""
+def _with_places(docs: DataFrame, window: int) -> Placed:
+    """``docs`` with the starts of the windows that a smaller document has."""
     found = repeats(docs, scratch_path(docs.sparkSession, "repeats"), window)
-    (places,) = free_names(docs.columns, "places")
-    keys = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
-    return *_meet_places(docs, found, keys, docs.columns, places), places
+    return Placed(docs, found, [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))], docs.columns)
 
 
 def _texts(part: pa.RecordBatch, places: str, window: int):
@@ -429,11 +451,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     made = StructType.fromDDL("n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
     docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in made.fieldNames()])
-    touched, rest, places = _with_places(docs, window)
+    placed = _with_places(docs, window)
+    once, places, docs_columns = placed.once, placed.places, docs.columns
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches):
-        for part in slices(batches, "text", CHUNK_BYTES):
+        for part in slices(once(batches), "text", CHUNK_BYTES):
             n_words, n_removed, runs, kept = [], [], [], []
             for w, gone in _texts(part, places, window):
                 n_words.append(len(w))
@@ -441,20 +464,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 edge = [] if gone is None else np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
                 runs.append([{"start": int(a), "end": int(b)} for a, b in edge])
                 kept.append(b" ".join(w if gone is None else [w[i] for i in np.flatnonzero(~gone)]))
-            own = [(c, x) for c, x in zip(part.schema.names, part.columns) if c != places]
-            columns = [*(x for _, x in own), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*(c for c, _ in own), *made.fieldNames()])
+            own = [part.column(i) for i in range(len(docs_columns))]
+            columns = [*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*docs_columns, *made.fieldNames()])
 
-    return mapped(touched.unionByName(rest), remove, StructType([*docs.schema.fields, *made.fields]))
+    return mapped(placed.rows, remove, StructType([*docs.schema.fields, *made.fields]))
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """As ``without_repeats``, but with the SHA-256 of the kept text in place of texts and spans."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    touched, rest, places = _with_places(keyed, window)
+    placed = _with_places(keyed, window)
+    once, places = placed.once, placed.places
 
     def remove(batches):
-        for part in slices(batches, "text", CHUNK_BYTES):
+        for part in slices(once(batches), "text", CHUNK_BYTES):
             n_words, n_removed, digest = [], [], []
             for w, gone in _texts(part, places, window):
                 n_words.append(len(w))
@@ -464,7 +488,7 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
             )
 
-    return touched.unionByName(rest).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return placed.rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -474,9 +498,9 @@ def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null and blank texts, null ids, repeated rows, long texts, empty tables and other columns: as
     in ``without_repeats``, but that nothing is added.
     """
-    touched, rest, places = _with_places(docs, window)
-    names = touched.columns
-    cut, gone_name = free_names(names, "cut_text", "gone")
+    placed = _with_places(docs, window)
+    places = placed.places
+    cut, gone_name = free_names(placed.touched.columns, "cut_text", "gone")
 
     def remove(batches):
         for part in slices(batches, "text", CHUNK_BYTES):
@@ -486,8 +510,8 @@ def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 none_left.append(gone is not None and bool(gone.all()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(none_left)], [*part.schema.names, cut, gone_name])
 
-    schema = StructType([*touched.schema.fields, *StructType.fromDDL(f"`{cut}` string, `{gone_name}` boolean").fields])
-    out = mapped(touched, remove, schema).where(~F.col(gone_name))
+    schema = StructType([*placed.touched.schema.fields, *StructType.fromDDL(f"`{cut}` string, `{gone_name}` boolean").fields])
+    out = mapped(placed.touched, remove, schema).where(~F.col(gone_name))
     new = F.col(cut)
     columns = []
     for c in docs.columns:
@@ -498,7 +522,7 @@ def keep_unrepeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns.append(F.coalesce(F.length(new).cast(kind), quoted(c)).alias(c))
         else:
             columns.append(quoted(c))
-    return out.select(*columns).unionByName(rest.select(*map(quoted, docs.columns)))
+    return out.select(*columns).unionByName(placed.rest)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
