@@ -43,6 +43,22 @@ def greedy_bundles(conflicts: list[tuple[int, int, int]], n_features: int, max_s
     return bundles
 
 
+def prefixed(names: list[str], prefixes: list[str]) -> list[int]:
+    """Places of the names that begin with one of the prefixes, in any case."""
+    wanted = tuple(p.upper() for p in prefixes)
+    return [i for i, name in enumerate(names) if name.upper().startswith(wanted)]
+
+
+def fit_bundles(df: DataFrame, features: list[str], prefixes: list[str], max_size: int = 8, max_conflicts: int = 0) -> list[list[int]] | None:
+    """Bundles, as places in ``features``, of the features with a prefix; None as ``greedy_bundles`` gives it."""
+    chosen = prefixed(features, prefixes)
+    if len(chosen) <= 1:
+        return None
+    counted = [(r["f1"], r["f2"], r["n"]) for r in conflict_matrix(df, [features[i] for i in chosen]).collect()]
+    found = greedy_bundles(counted, len(chosen), max_size, max_conflicts)
+    return None if found is None else [[chosen[i] for i in b] for b in found]
+
+
 def bundle_name(i: int, names: list[str]) -> str:
     return f"EFB_b{i}:[{','.join(names)}]"
 

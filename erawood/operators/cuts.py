@@ -63,7 +63,23 @@ def mass_cut_table(hist: DataFrame, max_bins: int, k: int) -> DataFrame:
     return hit.select("feature", F.least(F.greatest(F.col("bin") - 1, F.lit(0)), F.lit(max_bins - 2)).alias("thr")).distinct()
 
 
-def adaptive_k(median_rows: float, depth: int, k: int, decay: bool = True) -> int:
-    """Fewer cuts for small nodes and deep levels."""
-    tier = 1.0 if median_rows >= 10_000 else 0.5 if median_rows >= 1_000 else 0.25
-    return max(1, int(k * tier * (0.9**depth if decay else 1.0)))
+# The least median of node sizes of a tier, and the most cuts that it tries.
+TIERS = ((100_000, None), (20_000, 15), (0, 7))
+
+
+def adaptive_k(node_rows: list[int], depth: int, k: int, all_cuts: int, decay: float = 1.0) -> int:
+    """How many cuts a depth tries: fewer for small nodes, and for deep ones with a ``decay`` below 1.
+
+    The lower median of the nodes' sizes decides the tier. All cuts if ``k`` is 0, one if there is
+    no node. The last tier tries three at least, if ``k`` allows them.
+    """
+    if k == 0:
+        return all_cuts
+    if not node_rows:
+        return min(1, all_cuts)
+    middle = sorted(node_rows)[(len(node_rows) - 1) // 2]
+    most = next(cap for least, cap in TIERS if middle >= least)
+    some = k if most is None else min(k, most)
+    if decay != 1.0 and depth:
+        some = round(some * decay**depth)
+    return max(1, min(some, all_cuts))

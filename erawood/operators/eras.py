@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from erawood.scratch import scratch_path, written
+
 
 def distinct_eras(df: DataFrame, era: str = "era") -> DataFrame:
     """Each era with its dense code from 0. Only the distinct eras are ordered, not the rows."""
@@ -67,18 +69,32 @@ def row_holdout(df: DataFrame, fraction: float, order: list[str]) -> DataFrame:
     return ranked.withColumn("is_test", F.col("row_number") > n - k).drop("row_number")
 
 
-def ranked_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``row_number`` from 1 in a total order, by range partitions and their offsets."""
+def running_total(df: DataFrame, order: list[str], value: Column, out: str = "running") -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows up to each, in a total order.
+
+    Rows are dealt by range and stored, as their bounds would differ when computed again; sums go up
+    inside each range, and those of the ranges before are added. One row a range reaches the driver.
+    """
     spark = df.sparkSession
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = sorted((r[0], r[1]) for r in parts.groupBy("__part").agg(F.count("*")).collect())
+    ranges = df.withColumn("__value", value.cast("long")).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = written(ranges, scratch_path(spark, "ranges"))
     rows, total = [], 0
-    for p, n in sizes:
+    for p, n in sorted((r[0], r[1]) for r in parts.groupBy("__part").agg(F.sum("__value")).collect()):
         rows.append((p, total))
         total += n
     offsets = spark.createDataFrame(rows, "__part int, __before long")
-    return parts.join(F.broadcast(offsets), "__part").withColumn("row_number", F.col("__before") + F.col("__n")).drop("__part", "__n", "__before")
+    upto = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn(out, upto).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col(out)).drop("__part", "__value", "__before")
+
+
+def ranked_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``row_number`` from 1 in a total order, never in one task."""
+    return running_total(df, order, F.lit(1), "row_number")
+
+
+def count_eras(df: DataFrame, era: str = "era") -> int:
+    """How many distinct eras there are; null is none."""
+    return df.agg(F.count_distinct(era)).first()[0]
 
 
 def cv_folds(df: DataFrame, n_splits: int, embargo: int = 0, era: str = "era") -> DataFrame:

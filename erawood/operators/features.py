@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from erawood.functions.columns import finite
+from erawood.operators.eras import ranked_rows
 
-META = ("date_id", "era", "target", "forward_returns", "risk_free_rate", "market_forward_excess_returns", "is_scored", "row_id")
+# Columns that are never features, and targets by preference.
+META = (
+    "date_id", "era", "row_id", "is_scored", "target", "forward_returns", "risk_free_rate", "market_forward_excess_returns",
+    "lagged_forward_returns", "lagged_risk_free_rate", "lagged_market_forward_excess_returns",
+)
 TARGETS = ("target", "market_forward_excess_returns", "forward_returns")
+#: Rows of one series that a task computes together; a window's look back must be shorter.
+BLOCK_ROWS = 1 << 20
 
 
 def ordered(date: str | list[str], by: list[str] | None = None):
-    """The window of a series in date order; give ``by`` for more series than one."""
+    """The window of a series in date order; give ``by`` for more series than one.
+
+    Without ``by`` it is one task's work: use ``over_series`` and ``fill_series`` for one long series.
+    """
     dates = [date] if isinstance(date, str) else date
     return (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*dates)
 
@@ -60,6 +72,50 @@ def fill(x: Column, w, how: str) -> Column:
     raise ValueError(f"unknown fill {how!r}")
 
 
+def _blocks(df: DataFrame, order: list[str], block: int) -> DataFrame:
+    """``df`` with the place ``__at`` of each row in a total order, from 0, and its ``__block``."""
+    at = F.col("row_number") - 1
+    return ranked_rows(df, order).withColumn("__at", at).withColumn("__block", F.floor(at / block)).drop("row_number")
+
+
+def over_series(df: DataFrame, make: Callable[[WindowSpec], dict[str, Column]], order: list[str], lookback: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with columns over one long series, computed in blocks of rows.
+
+    ``make`` gives the columns for a window in order of the series; they may look back over
+    ``lookback`` rows, which each block gets from the one before.
+    """
+    if not 0 <= lookback < block:
+        raise ValueError("a block must be longer than the look back")
+    own = df.columns
+    rows = _blocks(df, order, block)
+    late = F.col("__at") % block >= block - lookback
+    homes = F.when(late, F.array("__block", F.col("__block") + 1)).otherwise(F.array("__block"))
+    w = Window.partitionBy("__home").orderBy("__at")
+    made = rows.withColumn("__home", F.explode(homes)).withColumns(make(w))
+    return made.where("__home = __block").drop(*[c for c in ("__at", "__block", "__home") if c not in own])
+
+
+def fill_series(df: DataFrame, column: str, how: str, order: list[str], out: str = "filled", block: int = BLOCK_ROWS) -> DataFrame:
+    """``fill`` along one long series, in blocks: what a block lacks comes from the nearest one that has a value."""
+    x = F.col(column)
+    rows = _blocks(df, order, block)
+    some = x.isNotNull()
+    ends = rows.groupBy("__block").agg(F.max_by(F.when(some, x), F.when(some, F.col("__at"))).alias("__last"), F.min_by(F.when(some, x), F.when(some, F.col("__at"))).alias("__first"))
+    w = Window.partitionBy().orderBy("__block")  # a row for each block
+    near = ends.select(
+        "__block",
+        F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    inside = Window.partitionBy("__block").orderBy("__at")
+    forward = F.coalesce(fill(x, inside, "ffill"), F.col("__before"))
+    backward = F.coalesce(fill(x, inside, "bfill"), F.col("__after"))
+    if how not in ("ffill", "bfill", "ffill_bfill"):
+        raise ValueError(f"unknown fill {how!r}")
+    filled = {"ffill": forward, "bfill": backward, "ffill_bfill": F.coalesce(forward, backward)}[how]
+    return rows.join(near, "__block").withColumn(out, filled).drop("__at", "__block", "__before", "__after")
+
+
 def infer_columns(df: DataFrame, era: str | None = None, target: str | None = None, prefixes: list[str] | None = None) -> tuple[str, str, list[str]]:
     """Era, target and features of a table by names and types."""
     names = df.columns

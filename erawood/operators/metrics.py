@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from erawood.functions.columns import correlation
+from erawood.functions.columns import correlation, signal
+from erawood.operators.eras import last_dates, running_total
 
 TRADING_DAYS = 252
 
@@ -68,9 +68,19 @@ def mse(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def rank_pct(df: DataFrame, x: str, out: str = "rank_pct") -> DataFrame:
-    """Percentile rank with average ties, from the counts of distinct values, not of rows."""
+    """Percentile rank with average ties, from the counts of distinct values, dealt by range; null for null."""
     counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("__ties"))
-    w = Window.partitionBy().orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("__upto", F.sum("__ties").over(w)).withColumn("__n", F.sum("__ties").over(Window.partitionBy()))
-    ranks = placed.select(x, ((F.col("__upto") - (F.col("__ties") - 1) / 2) / F.col("__n")).alias(out))
+    placed = running_total(counts, [x], F.col("__ties"), "__upto")
+    n = df.where(F.col(x).isNotNull()).count()
+    ranks = placed.select(x, ((F.col("__upto") - (F.col("__ties") - 1) / 2) / max(n, 1)).alias(out))
     return df.join(ranks, x, "left")
+
+
+def held_out_scores(df: DataFrame, train: DataFrame, date: str, n: int, prediction: str, multiplier: float, forward: str = "forward_returns", risk_free: str = "risk_free_rate") -> DataFrame:
+    """One row of the last ``n`` dates without those of ``train``: Sharpe ratio of the positions'
+    excess returns, and the penalised Sharpe ratio; both null if no row is left."""
+    rows = last_dates(df, n, date, train).withColumn("__position", signal(F.col(prediction), multiplier))
+    excess = F.col("__position") * (F.col(forward) - F.col(risk_free))
+    plain = rows.agg(F.count("*").alias("n_rows"), annual_sharpe(excess).alias("last_n_sharpe"))
+    hull = penalised_sharpe(rows, "__position", forward, risk_free)
+    return plain.crossJoin(hull).select("n_rows", "last_n_sharpe", F.when(F.col("n_rows") > 0, F.col("score")).alias("penalised_sharpe"))

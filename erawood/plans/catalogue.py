@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +61,24 @@ def prebinned_check(spark, d):
 
 
 def embedding_bins(spark, d):
-    vectors = _table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(4)])
-    ready, _ = binning.preprocess(vectors, [f"e{i}" for i in range(4)], 8)
-    return ready.select("vec_id", *[F.col("bins")[i].cast("int").alias(f"b{i}") for i in range(4)])
+    names = [f"e{i}" for i in range(S.DIMENSIONS)]
+    vectors = _table(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(names)])
+    ready, _ = binning.preprocess(vectors, names, 8)
+    return ready.select("vec_id", *[F.col("bins")[i].cast("int").alias(f"b{i}") for i in range(S.DIMENSIONS)])
+
+
+def missing_bins(spark, d):
+    """Edges of whole columns, applied to a column with nulls and NaN: missing values come last."""
+    k = F.col("event_id") % 5
+    x = F.when(k == 0, F.lit(float("nan"))).when(k != 1, F.col("value"))
+    rows = binning.apply_bins(_table(spark, d, "events").select("event_id", x.alias("x")), ["x"], [S.MISSING_EDGES])
+    return rows.select("event_id", F.col("bins")[0].cast("int").alias("bin"))
+
+
+def missing_edges(spark, d):
+    """A column with a null has no quantiles, so all its numbers are in the first bin."""
+    rows, _ = binning.preprocess(_table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 1000 != 3, F.col("value")).alias("x"), "value"), ["x", "value"], 4)
+    return rows.select("event_id", *[F.col("bins")[i].cast("int").alias(f"b{i}") for i in range(2)])
 
 
 def era_encode(spark, d):
@@ -123,7 +141,14 @@ def even_cuts(spark, d):
 
 
 def mass_cuts(spark, d):
-    return cuts.mass_cut_table(_hist(spark, d), BINS, 5)
+    found = cuts.mass_cuts(_hist(spark, d), BINS, 5)
+    return spark.createDataFrame([(f, t) for f, some in found.items() for t in some], "feature int, thr int")
+
+
+def adaptive_cuts(spark, d):
+    sizes = [r["n"] for r in training(spark, d).groupBy("era").agg(F.count("*").alias("n")).collect()]
+    rows = [(k, depth, decay, cuts.adaptive_k(sizes, depth, k, 62, decay)) for k in (0, 2, 5, 30) for depth in (0, 3) for decay in (1.0, 0.7)]
+    return spark.createDataFrame(rows, "k int, depth int, decay double, cuts int")
 
 
 def era_gain(spark, d):
@@ -136,6 +161,44 @@ def des_score(spark, d):
     return s.select("feature", "thr", _r("mean", 5), _r("std", 4), _r("agreement"), _r("score", 4), "lc", "tc")
 
 
+def des_mean_std(spark, d):
+    s = splits.scores(splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), CONFIG), CONFIG)
+    return s.select("feature", "thr", _r("mean", 5), _r("std", 4))
+
+
+def direction(spark, d):
+    g = splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), replace(CONFIG, era_alpha=1.5))
+    return splits.scores(g, CONFIG).select("feature", "thr", _r("agreement"))
+
+
+def _two_nodes(spark, d):
+    """The rows of a first split, at nodes 1 and 2."""
+    return _binned(spark, d).withColumn("node_id", F.when(F.col("bins")[0] <= 7, 1).otherwise(2))
+
+
+def best_split_depth1(spark, d):
+    return _decision(splits.best_splits_packed(histogram.histogram_packed(_two_nodes(spark, d), [0, 1, 2], BINS), CONFIG))
+
+
+def best_split_mass(spark, d):
+    return _decision(splits.best_splits_packed(histogram.histogram_packed(_two_nodes(spark, d), [0, 1, 2], BINS), replace(CONFIG, k_cuts=5)))
+
+
+def best_split_node(spark, d):
+    return _decision(splits.best_split_of(histogram.histogram_packed(_two_nodes(spark, d), [0, 1, 2], BINS), 2, CONFIG))
+
+
+def rescored_splits(spark, d):
+    rows = written(_two_nodes(spark, d), scratch_path(spark, "nodes"))
+    found = splits.best_splits_packed(histogram.histogram_packed(rows, [0, 1, 2], BINS), CONFIG)
+    return splits.rescored(rows, found, CONFIG).select("node_id", _r("score", 4), F.round("recomputed", 4).alias("recomputed"))
+
+
+def leaf_values(spark, d):
+    root = _binned(spark, d).groupBy("node_id").agg((-F.sum("grad") / (F.count("*") + CONFIG.lambda_l2)).alias("root_value"))
+    return best_split_root(spark, d).select("node_id", "left_value", "right_value").join(root.select("node_id", _r("root_value")), "node_id")
+
+
 def best_split_root(spark, d):
     s = splits.scores(splits.era_gains(histogram.prefix_sums(_hist(spark, d), BINS), CONFIG), CONFIG)
     return _decision(splits.best_splits(s, CONFIG))
@@ -149,11 +212,10 @@ def _decision(b):
     return b.select("node_id", "feature", "threshold", _r("score", 4), "left_count", "right_count", _r("left_value"), _r("right_value"))
 
 
-def _fit(spark, d, rounds: int, engine: str = "arrow", **changes) -> tuple[EraBooster, DataFrame]:
-    from dataclasses import replace
-
-    df = written(training(spark, d), scratch_path(spark, "training"))
-    return EraBooster(replace(CONFIG, **changes), engine).fit(df, FEATURES, "y", "era", num_rounds=rounds, log_metrics=False), df
+def _fit(spark, d, rounds: int, engine: str = "arrow", rows: DataFrame | None = None, log: bool = False, evals=(), **changes) -> tuple[EraBooster, DataFrame]:
+    df = written(training(spark, d) if rows is None else rows, scratch_path(spark, "training"))
+    held = [(name, df) for name in evals]
+    return EraBooster(replace(CONFIG, **changes), engine).fit(df, FEATURES, "y", "era", num_rounds=rounds, log_metrics=log, eval_sets=held), df
 
 
 def _model(booster, spark):
@@ -172,6 +234,10 @@ def fit_sql_engine(spark, d):
     return _model(_fit(spark, d, 1, "sql")[0], spark)
 
 
+def fit_depth_three(spark, d):
+    return _model(_fit(spark, d, 1, max_depth=3)[0], spark)
+
+
 def fit_predict(spark, d):
     booster, df = _fit(spark, d, 2)
     return booster.predict(df).groupBy("era", F.round("prediction", 4).alias("prediction")).agg(F.count("*").alias("n"))
@@ -186,8 +252,58 @@ def fit_mass_cuts(spark, d):
     return _model(_fit(spark, d, 1, k_cuts=5)[0], spark)
 
 
+def fit_mass_cuts_sql_engine(spark, d):
+    return _model(_fit(spark, d, 1, "sql", k_cuts=5)[0], spark)
+
+
+def fit_even_cuts(spark, d):
+    return _model(_fit(spark, d, 1, k_cuts=4, cut_selection="even")[0], spark)
+
+
+def fit_era_alpha(spark, d):
+    return _model(_fit(spark, d, 1, era_alpha=1.5)[0], spark)
+
+
+def fit_mean_update(spark, d):
+    return _model(_fit(spark, d, 2, pack_update="mean")[0], spark)
+
+
+def fit_single_era(spark, d):
+    df = written(training(spark, d), scratch_path(spark, "training"))
+    return _model(EraBooster(CONFIG).fit(df, FEATURES, "y", log_metrics=False), spark)
+
+
+def _with_null_targets(spark, d):
+    return training(spark, d).withColumn("y", F.when(F.col("l_quantity").cast("int") % 7 != 0, F.col("y")))
+
+
+def fit_null_targets(spark, d):
+    return _model(_fit(spark, d, 1, rows=_with_null_targets(spark, d))[0], spark)
+
+
+def fit_null_targets_sql_engine(spark, d):
+    return _model(_fit(spark, d, 1, "sql", rows=_with_null_targets(spark, d))[0], spark)
+
+
+SAMPLED = {"layer_feature_fraction": 0.67, "random_state": 3}
+
+
 def fit_sampled_features(spark, d):
-    return _model(_fit(spark, d, 1, layer_feature_fraction=0.67, random_state=3)[0], spark)
+    return _model(_fit(spark, d, 1, **SAMPLED)[0], spark)
+
+
+def train_equals_predict(spark, d):
+    """Predictions against the sums that training moves rows by, tree after tree."""
+    booster, df = _fit(spark, d, 2)
+    factor = CONFIG.tree_weight * CONFIG.pack_size
+    moved = sum((factor * trees.value_of(t, F.col("bins")) for t in booster.trees[:: CONFIG.pack_size]), F.lit(0.0))
+    both = binning.apply_bins(booster.predict(df), FEATURES, booster.edges).withColumn("moved", moved)
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("moved") - F.col("prediction")) > 1e-9).alias("n_apart"), F.round(F.sum("moved"), 3).alias("total"))
+
+
+def trees_property(spark, d):
+    booster, _ = _fit(spark, d, 2)
+    return spark.createDataFrame([(i, len(t), t.depth) for i, t in enumerate(booster.trees)], "tree int, nodes int, depth int")
 
 
 FIXED = trees.Tree([0, 1, 2, -1, -1, -1, -1], [7, 4, 3, 0, 0, 0, 0], [1, 3, 5, -1, -1, -1, -1], [2, 4, 6, -1, -1, -1, -1], [0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0])
@@ -250,33 +366,42 @@ def _series(spark, d):
     return _table(spark, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
 
 
-def _over(spark, d, make, name):
-    w = features.ordered(["ts", "event_id"])
-    return _series(spark, d).select("event_id", F.round(make(F.col("value"), w), 8).alias(name))
+SERIES = ["ts", "event_id"]
+#: Rows of a block of the series; the tables are small, and the blocks too, so that there are some.
+SERIES_BLOCK = 512
+
+
+def _over(spark, d, make, name, lookback):
+    out = features.over_series(_series(spark, d), lambda w: {name: make(F.col("value"), w)}, SERIES, lookback, SERIES_BLOCK)
+    return out.select("event_id", F.round(name, 8).alias(name))
 
 
 def lag1(spark, d):
-    return _over(spark, d, features.lag1, "lag1")
+    return _over(spark, d, features.lag1, "lag1", 1)
 
 
 def rolling_z(spark, d):
-    return _over(spark, d, features.rolling_z, "z")
+    return _over(spark, d, features.rolling_z, "z", 20)
 
 
 def momentum(spark, d):
-    return _over(spark, d, features.momentum, "momentum")
+    return _over(spark, d, features.momentum, "momentum", 62)
+
+
+def _filled(spark, d, how):
+    return features.fill_series(_series(spark, d), "value", how, SERIES, block=SERIES_BLOCK).select("event_id", F.round("filled", 8).alias("filled"))
 
 
 def ffill(spark, d):
-    return _over(spark, d, lambda x, w: features.fill(x, w, "ffill"), "filled")
+    return _filled(spark, d, "ffill")
 
 
 def bfill(spark, d):
-    return _over(spark, d, lambda x, w: features.fill(x, w, "bfill"), "filled")
+    return _filled(spark, d, "bfill")
 
 
 def ffill_bfill(spark, d):
-    return _over(spark, d, lambda x, w: features.fill(x, w, "ffill_bfill"), "filled")
+    return _filled(spark, d, "ffill_bfill")
 
 
 def engineer_features(spark, d):
@@ -301,6 +426,39 @@ def type_casts(spark, d):
     return training(spark, d).select(F.col("l_quantity").cast("short").alias("q")).groupBy("q").agg(F.count("*").alias("n"))
 
 
+def _market(spark, d):
+    """A table of returns by date with lagged columns, features of two groups and a flag."""
+    k = F.col("event_id")
+    lagged = [F.lit(0.0).alias(f"lagged_{c}") for c in ("forward_returns", "risk_free_rate", "market_forward_excess_returns")]
+    fr, rf = (F.col("value") - 50) / 5000, F.lit(0.0001)
+    return _table(spark, d, "events").select(
+        k.alias("row_id"), (k % 400).cast("int").alias("date_id"), fr.alias("forward_returns"), rf.alias("risk_free_rate"), (fr - rf).alias("market_forward_excess_returns"), *lagged,
+        (k % 400 >= 380).cast("int").alias("is_scored"), F.col("value").alias("M1"), (F.col("value") * 2).alias("MOM_2"), (k % 2).cast("int").alias("D1"), F.col("props").alias("note"),
+    )
+
+
+def market_columns(spark, d):
+    era, target, names = features.infer_columns(_market(spark, d))
+    _, _, some = features.infer_columns(_market(spark, d), prefixes=["mom", "D"])
+    return spark.createDataFrame([("era", era), ("target", target), *[("feature", c) for c in names], *[("of_groups", c) for c in some]], "role string, name string")
+
+
+def last_n_metrics(spark, d):
+    df = _market(spark, d).withColumn("prediction", F.col("M1") / 100 - 0.5)
+    train = df.where((F.col("date_id") < 390) & (F.col("date_id") != 385))
+    return metrics.held_out_scores(df, train, "date_id", 30, "prediction", 1.0).select("n_rows", _r("last_n_sharpe", 5), _r("penalised_sharpe", 5))
+
+
+def distinct_eras(spark, d):
+    df = eras.bucket_eras(_market(spark, d), 30, "date_id")
+    return spark.createDataFrame([("raw", eras.count_eras(df, "date_id")), ("bucketed", eras.count_eras(df, "era_bucket"))], "eras string, n long")
+
+
+def result_table(spark, d):
+    rows = era_corr(spark, d).select(F.concat(F.lit("era "), F.col("era")).alias("name"), F.when(F.col("era") != 1995, F.col("corr")).alias("corr"))
+    return io.result_table(rows, [("name", 12, None), ("corr", 10, 4)])
+
+
 def column_inference(spark, d):
     df = training(spark, d).withColumnRenamed("y", "target")
     era, target, names = features.infer_columns(df, prefixes=["l_"])
@@ -353,6 +511,20 @@ def bundle_transform(spark, d):
     return out.select("event_id", F.array_join(F.array_sort(F.array(*[F.format_string("%.4f", F.col(f"`{c}`")) for c in made])), ",").alias("sums"))
 
 
+def bundle_prefix(spark, d):
+    """Bundles of the columns with a prefix; the others stand alone, before them."""
+    df = _sparse(spark, d).withColumnsRenamed({"a": "D_a", "b": "d_b", "c": "X_c", "e": "D_e"})
+    names = ["D_a", "d_b", "X_c", "D_e"]
+    found = bundling.fit_bundles(df, names, ["d"])
+    out, made = bundling.apply_bundles(df, names, found, keep=["event_id"])
+    return out.select("event_id", F.lit(len(made)).alias("columns"), F.col("X_c").alias("alone"), F.round(F.col(f"`{made[1]}`"), 6).alias("bundle"))
+
+
+def key_split(spark, d):
+    train, test = io.key_split(_table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
 def depth_log(spark, d):
     booster, _ = _fit(spark, d, 1)
     logged = spark.createDataFrame([(x["round"], x["depth"], x["nodes_processed"], x["nodes_split"], x["rows"]) for x in booster.depth_log], "round int, depth int, nodes_processed int, nodes_split int, n_rows long")
@@ -360,9 +532,16 @@ def depth_log(spark, d):
 
 
 def round_log(spark, d):
-    df = written(training(spark, d), scratch_path(spark, "training"))
-    booster = EraBooster(CONFIG).fit(df, FEATURES, "y", "era", num_rounds=2, eval_sets=[("held", df)])
-    return booster.round_log(spark)
+    booster, _ = _fit(spark, d, 2, log=True, evals=["held"])
+    return booster.round_log(spark).where(F.col("name").isin("train_corr", "held_corr")).select("round", "name", _r("value", 5))
+
+
+def json_log(spark, d):
+    """The log of the depths, written as JSON lines and read again."""
+    booster, _ = _fit(spark, d, 1)
+    path = scratch_path(spark, "log")
+    io.write_json_log(booster.depth_rows(spark).select(F.from_json("entry", "round int, depth int, nodes_processed int, nodes_split int").alias("e")).select("e.*"), path)
+    return spark.read.schema("round int, depth int, nodes_processed long, nodes_split long").json(path)
 
 
 def feature_sample(spark, d):
@@ -375,6 +554,27 @@ def csv_roundtrip(spark, d):
     return io.read_csv(spark, path, "p_partkey long, p_size int, p_retailprice double", ["p_partkey", "p_size"])
 
 
+def csv_projection(spark, d):
+    path = scratch_path(spark, "csv")
+    io.write_csv(_table(spark, d, "part").select("p_partkey", F.col("p_name").alias("p_name"), (F.col("p_size") > 25).cast("int").alias("is_scored")), path)
+    return io.scored_counts(io.read_csv(spark, path, columns=["p_partkey", "is_scored"]))
+
+
+def row_cap(spark, d):
+    return io.first_rows(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 100, ["o_totalprice", "o_orderkey"])
+
+
+def feature_set(spark, d):
+    names = [f.name for f in _table(spark, d, "lineitem").schema if f.dataType.typeName() == "double"]
+    path = scratch_path(spark, "features")
+    spark.createDataFrame([(json.dumps({"feature_sets": {"all": names, "few": names[:1]}}),)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame([(c,) for c in io.read_feature_set(spark, path)], "name string")
+
+
+def parquet_projection(spark, d):
+    return io.read_parquet(spark, io.dataset_path(f"{d}/nation.parquet"), ["n_nationkey", "n_regionkey"])
+
+
 def json_features(spark, d):
     e = _table(spark, d, "events")
     return e.select(F.from_json("props", "k int")["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
@@ -394,13 +594,15 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quantile_edges, bin_counts, prebinned_check, embedding_bins, era_encode, era_bucket, era_floor, era_index, era_weights, single_era,
-        grad_hist, grad_hist_arrow, dense_grid, prefix_scan, reverse_scan, node_totals, parent_gain, even_cuts, mass_cuts, era_gain, des_score,
-        best_split_root, best_split_arrow, fit_one_round, fit_two_rounds, fit_sql_engine, fit_predict, predict_packwise, fit_mass_cuts, fit_sampled_features,
-        predict_tree, predict_forest, partition_rows, era_corr, era_metrics, r2, mse, ann_sharpe, signal_clip, penalised_sharpe, rank_pct,
-        lag1, rolling_z, momentum, ffill, bfill, ffill_bfill, engineer_features, inf_to_null, excess_target, null_target_filter, type_casts, column_inference,
-        dir_agreement, top_corr, temporal_holdout, row_holdout, cv_folds, last_n, conflict_matrix, bundle_transform,
-        depth_log, round_log, feature_sample, csv_roundtrip, json_features, synthetic,
+        quantile_edges, bin_counts, prebinned_check, embedding_bins, missing_bins, missing_edges, era_encode, era_bucket, era_floor, era_index, era_weights, single_era, distinct_eras,
+        grad_hist, grad_hist_arrow, dense_grid, prefix_scan, reverse_scan, node_totals, parent_gain, even_cuts, mass_cuts, adaptive_cuts, era_gain, des_score, des_mean_std, direction,
+        best_split_root, best_split_arrow, best_split_depth1, best_split_mass, best_split_node, rescored_splits, leaf_values,
+        fit_one_round, fit_two_rounds, fit_sql_engine, fit_depth_three, fit_predict, predict_packwise, fit_mass_cuts, fit_mass_cuts_sql_engine, fit_even_cuts, fit_era_alpha, fit_mean_update,
+        fit_single_era, fit_null_targets, fit_null_targets_sql_engine, fit_sampled_features, train_equals_predict, trees_property,
+        predict_tree, predict_forest, partition_rows, era_corr, era_metrics, r2, mse, ann_sharpe, signal_clip, penalised_sharpe, last_n_metrics, result_table, rank_pct,
+        lag1, rolling_z, momentum, ffill, bfill, ffill_bfill, engineer_features, inf_to_null, excess_target, null_target_filter, type_casts, column_inference, market_columns,
+        dir_agreement, top_corr, temporal_holdout, row_holdout, cv_folds, last_n, conflict_matrix, bundle_transform, bundle_prefix,
+        depth_log, round_log, json_log, feature_sample, csv_roundtrip, csv_projection, row_cap, feature_set, parquet_projection, json_features, key_split, synthetic,
     )
 }
 ORACLE_SQL: dict[str, str] = S.ORACLE_SQL

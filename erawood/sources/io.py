@@ -51,6 +51,16 @@ def write_json_log(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def result_table(df: DataFrame, columns: list[tuple[str, int, int | None]]) -> DataFrame:
+    """``line``: the columns ``(name, width, digits)`` as text of fixed width; names stand left, n/a for null."""
+    cells = []
+    for name, width, digits in columns:
+        text = F.col(name).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(name).cast("double"))
+        text = F.when(F.col(name).isNull(), F.lit("n/a")).otherwise(text)
+        cells.append(F.rpad(text, width, " ") if digits is None else F.lpad(text, width, " "))
+    return df.select(F.concat_ws(" ", *cells).alias("line"))
+
+
 def synthetic_regression(spark: SparkSession, rows: int, features: int, eras: int = 1, noise: float = 10.0, seed: int = 123) -> tuple[DataFrame, list[str]]:
     """``(row_id, era, f0.., y)``: y is linear in normal features, with noise and an offset by era."""
     import random
@@ -70,8 +80,9 @@ def random_split(df: DataFrame, test: float = 0.2, seed: int = 123) -> tuple[Dat
 
 
 def key_split(df: DataFrame, key: str, test: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """A split by a hash of a key, which does not depend on partitions."""
-    part = F.pmod(F.xxhash64(key), F.lit(1000)) < int(1000 * test)
+    """(train, test) by a hash of a key, which does not depend on partitions; rows without a key are for training."""
+    digits = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8)
+    part = F.coalesce(F.conv(digits, 16, 10).cast("long") % 1000 < int(1000 * test), F.lit(False))
     return df.where(~part), df.where(part)
 
 

@@ -234,3 +234,120 @@ def test_sources(spark, tmp_path):
     assert [r[0] for r in io.first_rows(df, 2, ["row_id"]).select("row_id").collect()] == [0, 1]
     with pytest.raises(FileNotFoundError):
         io.dataset_path(str(tmp_path / "none"))
+
+
+def test_exact_edges_are_those_of_numpy(spark):
+    rng = np.random.default_rng(11)
+    x = np.stack([rng.standard_normal(700), rng.integers(-3, 4, 700), np.exp(rng.normal(0, 20, 700)), np.where(rng.random(700) < 0.5, -0.0, 0.0)], 1).astype(np.float32)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a float, b float, c float, d float").repartition(5)
+    for bins in (2, 7, 63):
+        got = binning.quantile_edges(df, ["a", "b", "c", "d"], bins)
+        want = np.quantile(x.astype(float), np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
+        assert np.allclose(got, want, rtol=1e-6, atol=0)
+    stats = binning.order_statistics(df, ["a", "b"], lambda n: range(n))
+    for i, (n, missing, values) in enumerate(stats):
+        assert (n, missing) == (700, 0) and [values[k] for k in range(n)] == np.sort(x[:, i]).astype(float).tolist()
+
+
+@pytest.mark.parametrize("value", [None, float("nan")])
+def test_missing_values_are_last_and_leave_no_quantiles(spark, value):
+    df = spark.createDataFrame([(1.0,), (2.0,), (value,), (3.0,)], "a float")
+    (edges,) = binning.quantile_edges(df, ["a"], 4)
+    assert all(np.isnan(e) for e in edges)
+    assert [r[0] for r in binning.apply_bins(df, ["a"], [[1.5, 2.5]]).select(F.col("bins")[0]).collect()] == [0, 1, 2, 2]
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+def test_rows_without_a_target_take_no_part(spark, data, engine):
+    df, *_ = data
+    holes = df.withColumn("y", F.when(F.col("row_id") % 9 == 0, F.lit(None)).when(F.col("row_id") % 9 == 1, F.lit(float("nan"))).otherwise(F.col("y")))
+    some = df.where(F.col("row_id") % 9 > 1)
+    config = BoostConfig(pack_size=1, max_depth=2, max_bins=16, min_samples_leaf=5)
+    a, b = (EraBooster(config, engine).fit(x, NAMES, "y", "era", eval_sets=[("e", x)], num_rounds=1) for x in (holes, some))
+    assert len(a.trees[0]) == 7 and a.edges == b.edges and a.trees[0].feature == b.trees[0].feature and np.allclose(a.trees[0].value, b.trees[0].value)
+    assert abs(a.history[0]["train_corr"] - b.history[0]["train_corr"]) < 1e-12 and abs(a.history[0]["e_corr"] - a.history[0]["train_corr"]) < 1e-12
+
+
+def test_one_copy_of_the_rows_is_kept(spark, data, tmp_path):
+    import os
+
+    df, *_ = data
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    seen = []
+    EraBooster(CONFIG, store_every=1).fit(df, NAMES, "y", "era", num_rounds=3, eval_sets=[("held", df)], round_callback=lambda *_: seen.append(len([x for x in set(os.listdir(base)) - before if x.startswith("erawood-")])))
+    assert max(seen) == 2 and not [x for x in set(os.listdir(base)) - before if x.startswith("erawood-")]
+
+
+def test_long_series_in_blocks(spark):
+    from erawood.operators import features
+
+    rng = np.random.default_rng(6)
+    rows = [(i, int(d), None if rng.random() < 0.6 else float(rng.standard_normal())) for i, d in enumerate(rng.permutation(203))]
+    df = spark.createDataFrame(rows, "row_id long, day int, x double").repartition(4)
+    w = features.ordered("day")
+    plain = {r["day"]: r for r in df.select("day", features.lag1(F.col("x"), w).alias("lag"), features.rolling_z(F.col("x"), w, 9, 2).alias("z"), *[features.fill(F.col("x"), w, h).alias(h) for h in ("ffill", "bfill", "ffill_bfill")]).collect()}
+    got = features.over_series(df, lambda w: {"lag": features.lag1(F.col("x"), w), "z": features.rolling_z(F.col("x"), w, 9, 2)}, ["day"], 8, 10).collect()
+    assert len(got) == 203 and got[0].__fields__ == ["row_id", "day", "x", "lag", "z"]
+    for r in got:
+        p = plain[r["day"]]
+        assert r["lag"] == p["lag"] and (r["z"] is None) == (p["z"] is None) and (r["z"] is None or abs(r["z"] - p["z"]) < 1e-9)
+    for how in ("ffill", "bfill", "ffill_bfill"):
+        for r in features.fill_series(df, "x", how, ["day"], block=7).collect():
+            assert r["filled"] == plain[r["day"]][how]
+    with pytest.raises(ValueError):
+        features.over_series(df, lambda w: {}, ["day"], 10, 10)
+
+
+def test_market_columns(spark):
+    from erawood.operators import features
+
+    names = ["date_id", "M1", "D2", "is_scored", "forward_returns", "risk_free_rate", "lagged_forward_returns", "lagged_risk_free_rate", "lagged_market_forward_excess_returns"]
+    df = spark.createDataFrame([], ", ".join(f"{c} double" for c in names))
+    assert features.infer_columns(df) == ("date_id", "forward_returns", ["M1", "D2"])
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from erawood.scratch import shared_dir
+
+    folder = []
+    session = lambda master: N(conf=N(get=lambda *_: None), sparkContext=N(master=master, getCheckpointDir=lambda: folder[0] if folder else None, setCheckpointDir=folder.append))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(session("local-cluster[2,1,1000]"))
+    assert shared_dir(session("local[4]")) == shared_dir(session("spark://host:7077"))
+
+
+def test_adaptive_cuts_and_bundles_by_prefix(spark):
+    assert [cuts.adaptive_k([n], 0, 30, 62) for n in (5, 20_000, 100_000)] == [7, 15, 30]
+    assert cuts.adaptive_k([], 0, 30, 62) == 1 and cuts.adaptive_k([5], 1, 0, 62) == 62 and cuts.adaptive_k([5], 0, 2, 62) == 2 and cuts.adaptive_k([10**6], 2, 30, 62, 0.7) == 15
+    df = spark.createDataFrame([(1.0, 0.0, 5.0, 0.0), (0.0, 2.0, 5.0, None), (0.0, 0.0, 5.0, 3.0)], "d_1 double, x double, other double, D_2 double")
+    names = df.columns
+    assert bundling.fit_bundles(df, names, ["d"]) == [[0, 3]] and bundling.fit_bundles(df, names, ["x"]) is None
+    out, made = bundling.apply_bundles(df, names, [[0, 3]])
+    assert made == ["x", "other", "EFB_b0:[d_1,D_2]"] and [r[2] for r in out.collect()] == [1.0, 0.0, 3.0]
+
+
+def test_the_entry_module_does_without_the_text_operators(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    for gone in ("erawood.llm.queries", "erawood.llm"):
+        monkeypatch.delitem(sys.modules, gone, raising=False)
+
+    class Finder:
+        @staticmethod
+        def find_spec(name, path=None, target=None):
+            if name.startswith("erawood.llm") or name == "xxhash_gone":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    monkeypatch.setattr(sys, "meta_path", [Finder, *sys.meta_path])
+    assert entry._optional("erawood.llm.queries") is None
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("xxhash_gone")
+    importlib.invalidate_caches()
