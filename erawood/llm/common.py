@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,10 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def slices(batches, column: str = "text", limit: int = CHUNK_BYTES):
-    """Cut record batches so that each slice holds about ``limit`` bytes of ``column``, one row at least."""
+    """Cut record batches so that each slice holds about ``limit`` bytes of ``column``, one row at least.
+
+    Workers serve other tasks afterwards, so in the end unused memory goes back to the system.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -159,6 +163,14 @@ def slices(batches, column: str = "text", limit: int = CHUNK_BYTES):
             end = min(n, max(end, at + 1))
             yield batch.slice(at, end - at)
             at = end
+        del batch
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
