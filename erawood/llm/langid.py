@@ -88,7 +88,7 @@ class LanguageModel:
         pi, fit = self._em(p, count)
         penalty = 0.5 * np.log(max(count.sum(), 2.0))
         while len(chosen) > 1:
-            weak = int(np.argmin(pi))
+            weak = len(pi) - 1 - int(np.argmin(pi[::-1]))  # of equals the last goes
             rest = np.delete(np.arange(len(chosen)), weak)
             pi_less, fit_less = self._em(p[:, rest], count, np.delete(pi, weak))
             if fit - fit_less > penalty:
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, label_rows: int = LAB
     """
     labelled = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    names = sorted(sizes)
+    names = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not names:
         return None
     buckets = bucket_count(len(names))
@@ -152,8 +152,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``languages``, the proportions of the selected set.
 
     Only ``text`` is read, whole, of any length. A null text, one without a letter, or a missing
-    model gives ``und`` with score 0 and no proportions. Of languages in equal proportions the first
-    by name is predicted. Repeated rows are judged one by one; an empty table gives an empty
+    model gives ``und`` with score 0 and no proportions. Of languages in equal proportions the first of
+    the model is predicted, that is the label with the most rows, then the first by name. Repeated rows are judged one by one; an empty table gives an empty
     result. Columns of ``docs`` that clash with the three are replaced, all others go through.
     """
     from pyspark.sql.types import StructType

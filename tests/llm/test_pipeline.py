@@ -68,3 +68,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_nulls_and_repeats(spark, tmp_path):
+    rows, item = texts()
+    rows = [*rows, rows[0], rows[9], (None, prose(77, 90)), (None, None)]
+    data = [(i, t, "en", None, None if t is None else len(t), "p", 1, "t", 2, 3, True) for i, t in rows]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, places string, joined int, text_hash string, `a.b` int, component_id int, kept boolean"
+    spark.createDataFrame(data, kinds).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns and docs.dtypes == before.dtypes
+    kept = [(r["doc_id"], r["places"], r["a.b"]) for r in docs.collect()]
+    # a row that repeats a document shares its fate: the first text stays twice, the leak goes twice
+    assert sorted(kept, key=str) == sorted([(i, "p", 2) for i in (0, 0, 6, 7, 8, 10, 13, None)], key=str)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in pieces} == {0, 6, 7, 8, 10, 13, None}
