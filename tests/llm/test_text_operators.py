@@ -867,3 +867,17 @@ def test_ties_have_defined_results(spark):
     item = spark.createDataFrame([(1, prose(50, 20))], "item_id long, text string")
     twice = spark.createDataFrame([(1, " ".join([prose(1, 40), prose(50, 20), prose(2, 400), prose(50, 20)]))], "doc_id long, text string")
     assert [r["first_word"] for r in decontamination.contaminated(twice, item).collect()] == [40]
+
+
+def test_one_passage_in_fifty_thousand_documents(spark):
+    n, shared = 50_000, prose(700, 60)
+    own = F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.xxhash64(F.col("id"), F.lit(k)).cast("string")) for k in range(12)])
+    df = spark.range(0, n, 1, 6).select(F.col("id").alias("doc_id"), F.concat_ws(" ", own, F.lit(shared), F.col("id").cast("string")).alias("text")).cache()
+    total, buckets, chunk = substring.layout(df)
+    blocks, windows = substring.frequent_windows(df, (25, 50), total)
+    # windows of the passage alone are in every document, and none of them goes through a bucket
+    assert len(blocks.hashes) >= 36 and len(windows.hashes) >= 11 and set(blocks.least) == {0} and set(blocks.last) == {n - 1}
+    assert substring.anchors(df, 50, buckets, chunk, spark.sparkContext.broadcast(blocks)).count() == 0
+    got = substring.removal_digests(df).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(73, 0, 1), (73, 60, n - 1)]
+    df.unpersist()
