@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -371,6 +372,74 @@ def test_blocks_of_items_share_a_pass(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, items).collect()} >= {(i, i) for i in range(600)}
 
 
+def topics(seed, n_topics=10, per_topic=150):
+    """Documents of ten topics, with a random generator and the words: half of a document's are common ones, half are of its topic's 80."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(40)]
+    words = [[f"t{t}w{k}" for k in range(80)] for t in range(n_topics)]
+    docs = [[w for pair in zip(rng.sample(words[t], 30), rng.sample(common, 30)) for w in pair] for t in range(n_topics) for _ in range(per_topic)]
+    return rng, common, words, [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_leaks_whose_rare_words_are_others_of_their_topic(spark):
+    rng, common, words, rows = topics(3)
+    items, leaks = [], []
+    for t, w in enumerate(words):
+        item = rng.sample(common, 32)
+        at = sorted(rng.sample(range(41), 8))
+        changed = item.copy()
+        for k, (x, y) in enumerate(zip(rng.sample(w[:40], 8), rng.sample(w[40:], 8))):
+            item.insert(at[k], x)
+            changed.insert(at[k], y)
+        items.append((t, " ".join(item)))
+        around = [rng.choice(w[40:]) for _ in range(120)]
+        leaks.append((9000 + t, " ".join([*around[:60], *changed, *around[60:]])))
+    df = spark.createDataFrame(rows + leaks, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(df, benchmark).collect()}
+    assert all(got[9000 + t, t]["lcs"] == 0.8 for t in range(len(words)))
+    assert set(range(9000, 9010)).isdisjoint(r["doc_id"] for r in decontamination.keep_clean(df, benchmark).collect())
+
+
+def test_the_latent_space_is_a_truncated_decomposition_of_the_passages(spark, empty):
+    _, _, _, rows = topics(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frequencies, n = decontamination.document_frequencies(df)
+    idf = np.log1p((n + 1000) / (frequencies + 1.0))
+    space = decontamination.latent_space(df, idf, n)
+    assert space.shape == (1 << 16, decontamination.RANK) and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+    matrix = np.zeros((len(rows), 1 << 16), np.float32)
+    for i, (_, t) in enumerate(rows):
+        h, _ = decontamination.hashed_words(pa.array([t]))
+        np.add.at(matrix[i], decontamination._bucket(h), idf[decontamination._bucket(h)])
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    left, size, right = np.linalg.svd(matrix[:, frequencies > 0], full_matrices=False)
+    assert (np.linalg.norm(right[:10] @ space[frequencies > 0], axis=1) > 0.99).all()  # the topics
+    assert np.linalg.norm(matrix @ space) ** 2 >= 0.95 * (size[: space.shape[1]] ** 2).sum()
+    model = decontamination.Model([(1, rows[0][1])], idf, space)
+    plain = decontamination.Model([(1, rows[0][1])], idf, space[:, :0])
+    assert len(plain.lens) < len(model.lens) and (model.lens[: len(plain.lens)] >= plain.lens).all()  # no weight is lost
+    assert decontamination.latent_space(empty, idf, 0).shape == (1 << 16, 0)
+
+
+def test_many_candidates_are_judged_as_each_alone():
+    rng = random.Random(8)
+    texts = [prose(20 + i, rng.choice([3, 7, 8, 30, 64, 65])) for i in range(12)]
+    rows = [" ".join(x for k in range(4) for x in [prose(90 + i + k, 20), " ".join(w for w in rng.choice(texts).split() if rng.random() < 0.7)]) for i in range(40)]
+    idf = np.random.default_rng(1).random(1 << 16) + 1
+    model = decontamination.Model(list(enumerate(texts)), idf, np.zeros((1 << 16, 0), np.float32))
+    passages = decontamination.Passages(pa.array(rows), idf)
+    at = np.minimum(np.searchsorted(model.vocabulary, passages.h), len(model.vocabulary) - 1)
+    known = np.where(model.vocabulary[at] == passages.h, at, len(model.vocabulary))
+    b, j = (x.ravel() for x in np.meshgrid(np.arange(len(passages.of)), np.arange(len(texts)), indexing="ij"))
+    got = decontamination.plausible(passages, model, known, b, j)
+    for k, (block, item) in enumerate(zip(b, j)):
+        m = len(model.words[item])
+        a, z = decontamination.region_of(passages, block, m)
+        assert got[k] == (m > 64 or decontamination.possible(model.bags[item], m, passages.h[a:z]))
+    assert 0 < got[model.sizes[j] <= 64].sum() < (model.sizes[j] <= 64).sum()
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
