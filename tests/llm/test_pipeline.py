@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version on a small corpus."""
 
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -86,3 +87,19 @@ def test_other_columns_nulls_and_repeats(spark, tmp_path):
     assert sorted(kept, key=str) == sorted([(i, "p", 2) for i in (0, 0, 6, 7, 8, 10, 13, None)], key=str)
     pieces = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in pieces} == {0, 6, 7, 8, 10, 13, None}
+
+
+def test_leaks_in_other_words_of_their_topic_are_dropped(spark, tmp_path):
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(40)]
+    docs = [(i, " ".join(w for pair in zip(rng.sample([f"t{i % 10}w{k}" for k in range(80)], 30), rng.sample(common, 30)) for w in pair)) for i in range(1500)]
+    text, rare = rng.sample(common, 32), rng.sample(range(40), 8)
+    item, leak = text.copy(), text.copy()
+    for k, at in zip(rare, sorted(rng.sample(range(41), 8))):
+        item.insert(at, f"t3w{k}")
+        leak.insert(at, f"t3w{k + 40}")
+    around = [f"t3w{rng.randrange(40, 80)}" for _ in range(120)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([*docs, (9000, " ".join([*around[:60], *leak, *around[60:]]))], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.benchmark_leaks(spark, df, str(tmp_path)).collect()}
+    assert kept == set(range(1500))
