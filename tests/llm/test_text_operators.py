@@ -401,6 +401,51 @@ def test_leaks_whose_rare_words_are_others_of_their_topic(spark):
     assert set(range(9000, 9010)).isdisjoint(r["doc_id"] for r in decontamination.keep_clean(df, benchmark).collect())
 
 
+def test_leaks_that_are_near_in_the_latent_space_alone(spark):
+    rng, common, words, rows = topics(13)
+    items, leaks = [], []
+    for t, w in enumerate(words):
+        text, at = rng.sample(common, 30), sorted(rng.sample(range(31), 10))
+        item, changed = text.copy(), text.copy()
+        for k, x, y in sorted(zip(at, rng.sample(w[:40], 10), rng.sample(w[40:], 10)), reverse=True):
+            item.insert(k, x)
+            changed.insert(k, y)
+        names = iter(f"n{t}x{k}" for k in range(200))  # words of no other document, which no latent dimension holds
+        changed = [x for i, w in enumerate(changed) for x in ([w, next(names)] if i % 4 == 3 else [w])]
+        items.append((t, " ".join(item)))
+        leaks.append((9000 + t, " ".join([*(next(names) for _ in range(57)), *changed, *(next(names) for _ in range(70))])))
+    df = spark.createDataFrame(rows + leaks, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(df, benchmark).collect()}
+    assert all(got[9000 + t, t]["lcs"] == 0.75 and got[9000 + t, t]["cosine"] < decontamination.COSINE for t in range(len(words)))
+    assert set(range(9000, 9010)).isdisjoint(r["doc_id"] for r in decontamination.keep_clean(df, benchmark).collect())
+
+
+def test_the_nearest_pieces_are_those_of_the_greatest_latent_cosine():
+    rng = np.random.default_rng(3)
+    space = np.linalg.qr(rng.standard_normal((1 << 16, 8)))[0].astype(np.float32)
+    idf = rng.random(1 << 16) + 1
+    texts = [prose(600 + i, 30) for i in range(20)] + [prose(605, 30)]
+    model = decontamination.Model(list(enumerate(texts)), idf, space)
+    passages = decontamination.Passages(pa.array([prose(700 + i, 150) for i in range(9)] + [None, ""]), idf)
+    vectors = np.zeros((len(texts) + len(passages.of), 1 << 16))
+    for i, t in enumerate(texts):
+        np.add.at(vectors[i], decontamination._bucket(decontamination.hashed_words(pa.array([t]))[0]), 1.0)
+    for b, d in enumerate(passages.of):
+        at = passages.first[d] + (b - passages.head[d]) * 32
+        np.add.at(vectors[len(texts) + b], passages.bucket[at : min(at + 64, passages.first[d + 1])], 1.0)
+    images = vectors * idf @ space
+    images /= np.linalg.norm(images, axis=1)[:, None]
+    cosine = images[len(texts) :] @ images[: len(texts)].T
+    assert np.allclose(passages.images(space) @ model.latent.T, cosine, atol=1e-4)
+    got = decontamination.nearest(passages.images(space), model.latent)
+    for c, g in zip(cosine, got):
+        want = {j for j in range(len(texts)) if c[j] > 0 and (c > c[j] + 1e-4).sum() < decontamination.NEAREST}
+        assert set(np.flatnonzero(g)) == want
+    assert (got[:, 5] == got[:, 20]).all() and got[:, 5].any()  # equal pieces tie
+    assert not decontamination.nearest(np.zeros((2, 8), np.float32), model.latent).any()
+
+
 def test_the_latent_space_is_a_truncated_decomposition_of_the_passages(spark, empty):
     _, _, _, rows = topics(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
