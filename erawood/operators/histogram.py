@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEYS = ("node_id", "feature", "era", "bin")
-#: Cells that a task holds before it sends them on, and values that it bins at a time.
+#: Cells that a task holds before it sends them on, and values that it bins at a time. Some forty bytes
+#: a value are held meanwhile, so that a worker's memory is the same at every size of a task.
 DENSE_CELLS = 1 << 22
-_VALUES = 1 << 22
+_VALUES = 1 << 19
 PACKED = "node_id int, feature int, era int, cells binary"
 
 
@@ -75,39 +76,49 @@ def _of_rows(batches, wanted: np.ndarray, max_bins: int):
             if (bins[at] < 0).any():  # bins that don't count
                 ok = (bins[at] >= 0).ravel()
                 flat, weight = flat[ok], weight[ok]
-            cells = np.concatenate([np.bincount(flat, minlength=here * size).reshape(here, n, max_bins).astype(float), np.bincount(flat, weight, here * size).reshape(here, n, max_bins)], axis=2)
+            counts, sums = (np.bincount(flat, x, here * size).reshape(here, n, max_bins) for x in (None, weight))
             for i in range(here):
                 k = (int(groups[lo + i]) // span, int(groups[lo + i]) % span + low)
-                held[k] = held[k] + cells[i] if k in held else cells[i]
+                if k not in held:
+                    held[k] = np.zeros((n, 2 * max_bins))
+                held[k][:, :max_bins] += counts[i]
+                held[k][:, max_bins:] += sums[i]
             if len(held) >= most:
                 yield from sent()
     yield from sent()
 
 
 def _chunks(batches, wanted: np.ndarray, max_bins: int):
-    """Node, era, gradient and wanted bins (-1 for those that don't count) of some thousand rows at a time."""
-    rows: list[pa.RecordBatch] = []
+    """Node, era, gradient and wanted bins (-1 for those that don't count) of ``_VALUES`` values at most, or of one row.
+
+    Of a batch only what is wanted is kept.
+    """
+    most = max(1, _VALUES // max(1, len(wanted)))
+    rows: list[tuple[np.ndarray, ...]] = []
+
+    def taken(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        column = batch.column("bins")
+        bins = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)[:, wanted]
+        return (*(np.array(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("node_id", "era", "grad")), bins)
 
     def joined():
-        t = pa.Table.from_batches(rows).combine_chunks()
+        node, era, grad, bins = (np.concatenate(x) for x in zip(*rows))
         rows.clear()
-        node, era, grad = (t.column(c).to_numpy() for c in ("node_id", "era", "grad"))
-        column = t.column("bins").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        values = column.flatten().to_numpy(zero_copy_only=False)
-        bins = values.reshape(len(column), -1)[:, wanted].astype(np.int64)
+        bins = bins.astype(np.int64)
         bins[(bins < 0) | (bins >= max_bins)] = -1
         return node.astype(np.int64), era.astype(np.int64), grad, bins
 
     n = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows.append(batch)
-        n += batch.num_rows
-        if n * len(wanted) >= _VALUES:
-            yield joined()
-            n = 0
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, most - n)
+            rows.append(taken(some))
+            n += some.num_rows
+            at += some.num_rows
+            if n == most:
+                yield joined()
+                n = 0
     if rows:
         yield joined()
 

@@ -1,6 +1,9 @@
 """The booster against a numpy brute force, and its properties."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +127,39 @@ def test_histogram_engines_and_conservation(spark, data):
     assert both.where("lc + rc != tc or abs(lg + rg - tg) > 1e-9").count() == 0 and both.count() == 3 * 4 * 15
 
 
+@pytest.mark.parametrize("n, width, features", [(1_500_000, 3, [0, 1, 2]), (20_000, 300, [1, 7]), (20_000, 300, list(range(300)))])
+def test_a_task_adds_up_its_rows_in_bounded_memory(n, width, features):
+    """However many rows a task has, and however wide they are."""
+    rng = np.random.default_rng(1)
+
+    def batches(size=10_000):
+        for lo in range(0, n, size):
+            bins = rng.integers(0, 16, size * width).astype(np.int8)
+            held = pa.ListArray.from_arrays(np.arange(size + 1, dtype=np.int32) * width, bins)
+            some = np.arange(lo, lo + size)
+            node, era = (some % 2 + 1).astype(np.int32), (some % 7 + 1992).astype(np.int32)
+            grad = (some % 5).astype(float)
+            at = bins.reshape(size, width)
+            for i, f in enumerate(features[:2]):
+                np.add.at(want[0, i], (node, era - 1992, at[:, f]), 1)
+                np.add.at(want[1, i], (node, era - 1992, at[:, f]), grad)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(era), held, pa.array(grad)], ["node_id", "era", "bins", "grad"])
+
+    want, got = np.zeros((2, 2, 3, 7, 16)), np.zeros((2, 2, 3, 7, 16))
+    tracemalloc.start()
+    try:
+        for batch in histogram._of_rows(batches(), np.array(features), 16):
+            cells = histogram.unpacked(batch.column("cells"), 16)
+            for (node, feature, era), c in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), cells):
+                if feature in features[:2]:
+                    got[:, features.index(feature), node, era - 1992] += c.reshape(2, 16)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (got == want).all() and want[0].sum() == 2 * n
+    assert peak < 64e6, peak
+
+
 def test_modes_determinism_and_packwise(spark, data):
     from dataclasses import replace
 
