@@ -11,10 +11,21 @@ def as_single(x: Column) -> Column:
     return x.cast("float").cast("double")
 
 
-def bin_of(x: Column, edges: list[float]) -> Column:
-    """Edges strictly below ``x``, both in single precision. Missing values, null or NaN, come after every number."""
-    held = F.array(*[F.lit(float(e)).cast("float") for e in edges]) if edges else F.array().cast("array<float>")
+def bin_of(x: Column, edges: list[float], compiled: bool = False) -> Column:
+    """Edges strictly below ``x``, both in single precision. Missing values, null or NaN, come after every number.
+
+    ``compiled`` searches ascending edges by nested conditions, which Spark compiles; other edges are counted.
+    """
     number = F.coalesce(x.cast("float"), F.lit(float("nan")).cast("float"))
+    if compiled and all(a <= b for a, b in zip(edges, edges[1:])):
+        def among(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo).cast("tinyint")
+            at = (lo + hi) // 2
+            return F.when(F.lit(float(edges[at])).cast("float") < number, among(at + 1, hi)).otherwise(among(lo, at))
+
+        return among(0, len(edges))
+    held = F.array(*[F.lit(float(e)).cast("float") for e in edges]) if edges else F.array().cast("array<float>")
     return F.size(F.filter(held, lambda e: e < number)).cast("tinyint")
 
 

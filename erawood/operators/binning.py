@@ -18,6 +18,8 @@ from erawood.functions.columns import as_single, bin_of
 
 #: Columns that one scan handles.
 WIDTH = 64
+#: Edges of all columns that are searched by compiled conditions; more would make methods that the JVM doesn't compile.
+COMPILED_EDGES = 64
 _COUNTS = "at long, n long"
 
 
@@ -145,7 +147,8 @@ def edge_table(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
 
 def apply_bins(df: DataFrame, features: list[str], edges: list[list[float]], out: str = "bins") -> DataFrame:
     """``df`` with the bins of its features as an array of tinyint."""
-    return df.withColumn(out, F.array(*[bin_of(F.col(c), e) for c, e in zip(features, edges)]))
+    few = sum(map(len, edges)) <= COMPILED_EDGES
+    return df.withColumn(out, F.array(*[bin_of(F.col(c), e, few) for c, e in zip(features, edges)]))
 
 
 def is_prebinned(df: DataFrame, features: list[str], max_bins: int) -> bool:

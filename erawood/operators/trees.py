@@ -92,9 +92,11 @@ def value_of(tree: Tree, bins: Column) -> Column:
 
 
 def forest_value(trees: list[Tree], bins: Column) -> Column:
-    """The sum of the trees' values, in one expression over a literal array of trees."""
+    """The sum of the trees' values: compiled conditions for few nodes, else one expression over a literal array of trees."""
     if not trees:
         return F.lit(0.0)
+    if sum(map(len, trees)) <= SMALL:
+        return sum((value_of(t, bins) for t in trees), F.lit(0.0))
     deepest = max(t.depth for t in trees)
     held = F.array(*[
         F.struct(_ints(t.feature).alias("f"), _ints(t.threshold).alias("t"), _ints(t.left).alias("l"), _ints(t.right).alias("r"), F.array(*[F.lit(float(v)) for v in t.value]).alias("v"))

@@ -249,6 +249,32 @@ def test_routing(spark):
         assert r["v"] == r["w"] == tree.value[tree.route(list(r["bins"]))]
 
 
+def test_bins_and_small_forests_are_compiled(spark):
+    """Few edges and few nodes become conditions without lambdas; they give what counting and walking give."""
+    edges = [[-1.5, 0.0, 0.0, 0.1, 2.0, float("inf")], [3.0, 1.0, 2.0], [float("nan")] * 3, [5.0], []]
+    single = np.float32(0.1).item()
+    xs = [None, float("nan"), float("-inf"), -1.5, -0.0, 0.0, 1e-45, single, np.nextafter(np.float32(0.1), np.float32(1)).item(), 1.0, 1.5, 2.0, 3.0, 5.0, 7.0, float("inf")]
+    names = [f"x{i}" for i in range(len(edges))]
+    df = spark.createDataFrame([(i, *[x] * len(edges)) for i, x in enumerate(xs)], f"i int, {', '.join(f'{c} double' for c in names)}")
+    fast = binning.apply_bins(df, names, edges)
+
+    def below(x, some):
+        x = np.float32(np.nan if x is None else x)
+        return sum(1 for e in np.array(some, np.float32) if not np.isnan(e) and (np.isnan(x) or e < x))
+
+    for r in fast.collect():
+        assert list(r["bins"]) == [below(xs[r["i"]], e) for e in edges]
+    scored = binning.apply_bins(df.select("i", "x0", "x3"), ["x0", "x3"], [edges[0], edges[3]])
+    routed = Tree()
+    a, b = routed.split(0, 0, 2, -0.7, 0.3)
+    routed.split(a, 1, 0, 0.1, -0.2)
+    scored = scored.withColumn("v", forest_value([routed, Tree([-1], [0], [-1], [-1], [0.25]), routed], F.col("bins")))
+    for r in scored.collect():
+        one = routed.value[routed.route(list(r["bins"]))]
+        assert r["v"] == 0.0 + one + 0.25 + one
+    assert "lambda" not in scored._jdf.queryExecution().toString()
+
+
 def test_empty_and_odd_input(spark):
     empty = spark.createDataFrame([], "era int, a float, y double")
     booster = EraBooster(CONFIG).fit(empty, ["a"], "y", "era", num_rounds=1, log_metrics=False)
